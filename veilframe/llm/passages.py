@@ -124,8 +124,17 @@ def distinct_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _PACK = "shard int, kind int, n long, data binary"
 
 
+def _planes(column: np.ndarray) -> bytes:
+    """The column as differences, byte plane after byte plane."""
+    step = np.diff(column, prepend=column[:1] * 0) if column.dtype.kind == "i" else column
+    return np.ascontiguousarray(step.view(np.uint8).reshape(len(step), -1).T).tobytes()
+
+
 def _by_shard(shard: np.ndarray, kind: int, columns: list[np.ndarray], blobs: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
-    """One row a shard: the columns' arrays one after the other, then blobs."""
+    """One compressed row a shard: the columns one after the other, then blobs."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
     order = np.argsort(shard, kind="stable")
     shard = shard[order]
     columns = [c[order] for c in columns]
@@ -134,22 +143,35 @@ def _by_shard(shard: np.ndarray, kind: int, columns: list[np.ndarray], blobs: li
     for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(shard)]):
         if a == b:
             continue
-        parts = [c[a:b].tobytes() for c in columns]
+        parts = [_planes(c[a:b]) for c in columns]
         if blobs is not None:
             parts += [blobs[i] for i in order[a:b].tolist()]
-        rows.append(b"".join(parts))
+        rows.append(pack(b"".join(parts)))
         ids.append(int(shard[a]))
         counts.append(b - a)
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([kind] * len(ids), pa.int32()), pa.array(counts, pa.int64()), pa.array(rows, pa.binary())], ["shard", "kind", "n", "data"])
 
 
-def _unpack(n: int, data: bytes, types: list[str]) -> tuple[list[np.ndarray], int]:
+def _unpack(n: int, packed: bytes, types: list[str]) -> tuple[list[np.ndarray], bytes, int]:
+    """Columns of a row, its bytes, and where the blobs begin."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(packed)
     out, at = [], 0
     for t in types:
-        out.append(np.frombuffer(data, t, n, at))
-        at += out[-1].nbytes
-    return out, at
+        t = np.dtype(t)
+        planes = np.frombuffer(data, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
+        column = np.ascontiguousarray(planes.T).view(t).ravel()
+        out.append(np.cumsum(column, dtype=t) if t.kind == "i" else column)
+        at += n * t.itemsize
+    return out, data, at
+
+
+def _short(h: np.ndarray) -> list[np.ndarray]:
+    """40 bits of hashes; with the shard's own bits, chance agreement of two
+    anchors stays rare, and all it costs is a stretch that step 4 clears."""
+    return [(h >> U(24)).astype(np.uint32), (h >> U(56)).astype(np.uint8)]
 
 
 def _anchor_task(units: Units, shards: int):
@@ -166,11 +188,11 @@ def _anchor_task(units: Units, shards: int):
                     count += len(doc)
                 if count >= _FLUSH_ROWS:
                     h, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
-                    yield from _by_shard(((h >> U(20)) % U(shards)).astype(np.int32), 0, [h, d, p])
+                    yield from _by_shard(((h >> U(20)) % U(shards)).astype(np.int32), 0, _short(h) + [d, p])
                     held, count = [], 0
         if held:
             h, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from _by_shard(((h >> U(20)) % U(shards)).astype(np.int32), 0, [h, d, p])
+            yield from _by_shard(((h >> U(20)) % U(shards)).astype(np.int32), 0, _short(h) + [d, p])
 
     return rows
 
@@ -193,26 +215,23 @@ def _per_doc(doc: np.ndarray, values: np.ndarray, name: str) -> Iterator[pa.Reco
 
 def _mark_task(within: bool, hot: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unpack(n, data, ["<u8", "<i8", "<i4"])[0] for batch in batches for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True)]
+        held = []
+        for batch in batches:
+            for shard, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "data")), strict=True):
+                (low, high, doc, pos), _, _ = _unpack(n, data, ["<u4", "u1", "<i8", "<i4"])
+                held.append((U(shard) << U(40) | high.astype(np.uint64) << U(32) | low, doc, pos))
         if not held:
             return
         h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
-        order = np.lexsort((doc, h))
+        order = np.argsort(h)
         h, doc, pos = h[order], doc[order], pos[order]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        group = np.cumsum(first) - 1
-        count = np.bincount(group)
-        if within:
-            recurs = count > 1
-        else:
-            change = np.zeros(len(h), bool)
-            change[1:] = (doc[1:] != doc[:-1]) & ~first[1:]
-            recurs = np.bincount(group, change) > 0
-        keep = recurs[group]
+        cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+        count = np.diff(np.append(cut, len(h)))
+        recurs = count > 1 if within else np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut)
+        count, keep = np.repeat(count, count), np.repeat(recurs, count)
         # places are not negative: a flagged one is stored as -1 - place
-        place = np.where(count[group] > hot, -1 - pos, pos)
+        place = np.where(count > hot, -1 - pos, pos)
         yield from _per_doc(doc[keep], place[keep].astype("<i4"), "marks")
 
     return rows
@@ -329,14 +348,14 @@ def _decide_task(decide: Callable[[Stretches], tuple[np.ndarray, np.ndarray]]):
         for batch in batches:
             for shard, kind, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "n", "data")), strict=True):
                 if kind == 1:
-                    (doc, start), _ = _unpack(n, data, ["<i8", "<i4"])
+                    (doc, start), _, _ = _unpack(n, data, ["<i8", "<i4"])
                     yield from _per_doc(doc, start, "spans")
                 else:
                     held.setdefault(shard, []).append((n, data))
         for shard in list(held):
             arrays, text = [], []
             for n, data in held.pop(shard):
-                cols, at = _unpack(n, data, ["<u8", "<i8", "<i4", "<i4", "<i4"])
+                cols, data, at = _unpack(n, data, ["<u8", "<i8", "<i4", "<i4", "<i4"])
                 ends = at + np.cumsum(cols[4], dtype=np.int64)
                 text += [data[x:y] for x, y in zip((ends - cols[4]).tolist(), ends.tolist(), strict=True)]
                 arrays.append(cols[:4])

@@ -77,7 +77,7 @@ class RunLengthIndex:
             further = np.where(left > h, rank[np.minimum(at + h, len(at) - 1)] + 1, 0)
             rank = _dense(rank.astype(np.uint64) << np.uint64(32) | further.astype(np.uint64))
             h *= 2
-        sa = np.argsort(rank, kind="stable")
+        sa = np.argsort(rank << 32 | at)  # equal suffixes by text
         bwt = sym[sa - 1]
         bwt[sa == 0] = 0
         cut = np.concatenate([[0], np.flatnonzero(bwt[1:] != bwt[:-1]) + 1])
@@ -151,7 +151,7 @@ class RunLengthIndex:
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s = key[order]
     new = np.zeros(len(key), np.int64)
     new[1:] = s[1:] != s[:-1]
