@@ -237,6 +237,30 @@ def _mark_task(within: bool, hot: int):
     return rows
 
 
+def _span_rows(doc: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Window starts of documents as runs (start, windows)."""
+    if not len(doc):
+        return
+    order = np.lexsort((starts, doc))
+    doc, starts = doc[order], starts[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (starts[1:] > starts[:-1] + 1)
+    at = np.flatnonzero(new)
+    last = starts[np.append(at[1:], len(starts)) - 1]
+    runs = starts[at].astype(np.uint64) << U(32) | (last - starts[at] + 1).astype(np.uint64)
+    yield from _per_doc(doc[at], runs, "spans")
+
+
+def covered(n: int, parts: list[bytes], length: int) -> np.ndarray:
+    """Units of a document of n that its removed windows cover."""
+    runs = np.frombuffer(b"".join(parts), np.uint64)
+    start, windows = (runs >> U(32)).astype(np.int64), (runs & U(0xFFFFFFFF)).astype(np.int64)
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, start, 1)
+    np.add.at(step, np.minimum(start + windows + length - 1, n), -1)
+    return np.cumsum(step[:-1]) > 0
+
+
 def window_bytes(units: Units, block: TextBlock) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Normal bytes of a block and, for each unit, its start and end there:
     words are joined by one space."""
@@ -349,7 +373,7 @@ def _decide_task(decide: Callable[[Stretches], tuple[np.ndarray, np.ndarray]]):
             for shard, kind, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "n", "data")), strict=True):
                 if kind == 1:
                     (doc, start), _, _ = _unpack(n, data, ["<i8", "<i4"])
-                    yield from _per_doc(doc, start, "spans")
+                    yield from _span_rows(doc, start.astype(np.int64))
                 else:
                     held.setdefault(shard, []).append((n, data))
         for shard in list(held):
@@ -362,7 +386,7 @@ def _decide_task(decide: Callable[[Stretches], tuple[np.ndarray, np.ndarray]]):
             key, doc, start, windows = (np.concatenate(x) for x in zip(*arrays, strict=True))
             order = np.lexsort((start, doc, key))
             found = decide(Stretches(key[order], doc[order], start[order], windows[order], [text[i] for i in order.tolist()]))
-            yield from _per_doc(found[0], found[1].astype("<i4"), "spans")
+            yield from _span_rows(*found)
 
     return rows
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_blocks
-from .passages import NULL_ID, Stretches, Units, distinct_docs, repeated_spans
+from .passages import NULL_ID, Stretches, Units, covered, distinct_docs, repeated_spans
 
 WINDOW = 20
 UNITS = Units("words", WINDOW, 6, True)
@@ -94,13 +94,6 @@ def _locate(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out_doc, np.int64), np.array(out_start, np.int64)
 
 
-def _covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + length, n), -1)
-    return np.cumsum(step[:-1]) > 0
-
-
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, bytes]]]]:
     for batch in distinct_docs(batches):
         spans = batch.column(batch.num_columns - 1)
@@ -115,7 +108,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
                 parts = spans[block.first + i].as_py()
                 gone = 0
                 if parts:
-                    hit = _covered(len(words), np.frombuffer(b"".join(parts), "<i4").astype(np.int64), WINDOW)
+                    hit = covered(len(words), parts, WINDOW)
                     gone = int(hit.sum())
                     words = [w for w, h in zip(words, hit.tolist(), strict=True) if not h]
                 out.append((int(b - a), gone, b" ".join(words)))

@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_blocks
-from .passages import NULL_ID, Stretches, Units, distinct_docs, repeated_spans
+from .passages import NULL_ID, Stretches, Units, byte_grams, covered, distinct_docs, repeated_spans
 
 WINDOW = 50
 UNITS = Units("bytes", WINDOW, 16, False)
 #: Bytes of one index; a larger shard uses several, one after another.
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 1 << 18
 _CHAR = 40  # composite keys: byte above, row or rank below
 
 
@@ -160,6 +160,32 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return out
 
 
+def _telling(texts: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Texts of which some window's hash stands twice, cut to those windows,
+    with the bytes cut from their beginnings. Other windows are unique."""
+    if not len(which):
+        return which, which, []
+    size = np.array([len(texts[i]) for i in which])
+    start = np.cumsum(size) - size
+    g = byte_grams(np.frombuffer(b"".join([texts[i] for i in which]), np.uint8), 16)
+    per = size - WINDOW + 1
+    own = np.repeat(np.arange(len(which)), per)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(per) - per, per)
+    at = place + start[own]
+    h = g[at]
+    for step in (16, 32, WINDOW - 16):
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + g[at + step]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    lo, hi = np.full(len(which), 1 << 40), np.full(len(which), -1)
+    np.minimum.at(lo, own[twice], place[twice])
+    np.maximum.at(hi, own[twice], place[twice])
+    keep = np.flatnonzero(hi >= 0)
+    return which[keep], lo[keep], [texts[which[i]][lo[i] : hi[i] + WINDOW] for i in keep]
+
+
 def _mark(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
     """Documents and starts of windows that a smaller document holds too."""
     docs_out, starts_out = [], []
@@ -189,12 +215,12 @@ def _mark(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
         single[text[(lo == hi)[group]]] = True
         first[single] = least[single, None]
         mixed = np.flatnonzero(~single)
+        mixed, skip, own = _telling(texts, mixed)
         if len(mixed):
-            own = [texts[i] for i in mixed]
             index = RunLengthIndex.build(own, least[mixed])
             for live, place, length, row in index.matching(own):
                 long = length >= WINDOW
-                first[mixed[live[long]], place[long]] = index.first_doc(row[long])
+                first[mixed[live[long]], place[long] + skip[live[long]]] = index.first_doc(row[long])
         for x in range(0, len(text), 100_000):
             t = text[x : x + 100_000]
             hit = (first[t] < doc[x : x + 100_000, None]) & (np.arange(first.shape[1])[None, :] < n_windows[t, None])
@@ -204,13 +230,6 @@ def _mark(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs_out), np.concatenate(starts_out)
 
 
-def _covered(n: int, starts: np.ndarray) -> np.ndarray:
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + WINDOW, n), -1)
-    return np.cumsum(step[:-1]) > 0
-
-
 def _kept(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
     spans = batch.column(batch.num_columns - 1)
     for block in text_blocks(batch.column(1)):
@@ -219,7 +238,7 @@ def _kept(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
             if not parts:
                 yield len(text), 0, 0, text
                 continue
-            gone = _covered(len(text), np.frombuffer(b"".join(parts), "<i4").astype(np.int64))
+            gone = covered(len(text), parts, WINDOW)
             runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             yield len(text), int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
