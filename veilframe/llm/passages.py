@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import U, TextBlock, gram_hash, mix64, partitions, text_blocks
 
 #: Occurrences beyond which an anchor's windows are dealt by their own hashes.
-HOT = 1000
+HOT = 10_000
 NULL_ID = -(1 << 63)
 _POS_BITS = 24
 _FLUSH_ROWS = 1 << 20
@@ -327,7 +327,7 @@ def _stretch_task(units: Units, shards: int):
                         for i, k in enumerate(key.tolist()):
                             # documents come in order of id, windows in order of place
                             if (held := firsts.get(k)) is None:
-                                if len(firsts) < 1_000_000:
+                                if len(firsts) < 100_000:  # a window not kept is sent again, no more
                                     firsts[k] = (int(ids[block.first + d[i]]), text[u0[a[i]] : u1[a[i] + units.length - 1]])
                             elif held[1] == text[u0[a[i]] : u1[a[i] + units.length - 1]]:
                                 fresh[i] = False

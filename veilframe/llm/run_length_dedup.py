@@ -209,11 +209,10 @@ def _mark(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = np.full(group[-1] + 1, len(texts)), np.full(group[-1] + 1, -1)
         np.minimum.at(lo, group, text)
         np.maximum.at(hi, group, text)
-        first = np.full((len(texts), int(windows.max())), np.iinfo(np.int64).max)
+        first = np.repeat(least[:, None], int(windows.max()), axis=1)
         n_windows = np.array([len(t) - WINDOW + 1 for t in texts])
         single = np.zeros(len(texts), bool)
         single[text[(lo == hi)[group]]] = True
-        first[single] = least[single, None]
         mixed = np.flatnonzero(~single)
         mixed, skip, own = _telling(texts, mixed)
         if len(mixed):
