@@ -5,11 +5,12 @@
    count of leading zeros and ``MANTISSA`` bits after the leading one.
 2. Equal sets (by a 128-bit set hash and size) are one class, represented by
    its smallest doc_id, so exact copies cost one sketch.
-3. Bands of four registers are keys. The smallest class of each key is
-   compared with all others of the key (a star, linear in the key's size):
-   the registers give a collision-corrected Jaccard estimate, and what may
-   reach the threshold is confirmed on the full sets.
-4. Links are joined to components. Keys that still hold several components
+3. Bands of four registers are keys. Every class is compared with the
+   smallest class among its keys (stars, one pair a class): the registers give
+   a collision-corrected Jaccard estimate, and what may reach the threshold is
+   confirmed on the full sets. Links are joined to components, and a second
+   round compares each class with the smallest one of another component.
+4. Keys that still hold several components
    are compared pair by pair across components, in blocks of ``BLOCK_ROWS``
    that large keys spread over tasks, and confirmed the same way.
 
@@ -39,6 +40,10 @@ REGISTERS, ROWS_A_BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS_A_BAND
 FLOOR = 0.5
 BLOCK_ROWS = 1000
+#: Rounds of stars before components are compared pair by pair.
+STARS = 2
+#: Ids that a broadcast may hold (a few MB).
+BROADCAST_IDS = 100_000
 _SEEDS = mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64))
 _FACTORS = mix64(_SEEDS) | U(1)
 #: Chance that two different minima share a compressed register, about.
@@ -198,14 +203,40 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "v long, s binary")
-    sets = materialise(sets, "sets")
-    with_b = pairs.join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long")
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(v, s): full sets of the documents ``ids`` (v)."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    # a checked number of ids goes to every task; beyond it texts are shuffled
+    ids = F.broadcast(ids) if few else ids.hint("merge")
+    own = docs.join(ids, F.col("doc_id") == F.col("v"), "left_semi").select("doc_id", "text")
+    return materialise(own.mapInArrow(_sets, "v long, s binary"), "sets")
+
+
+class _Confirmed:
+    """Tests pairs (a, b) once each, and keeps the sets that it has made."""
+
+    def __init__(self, docs: DataFrame, regs: DataFrame):
+        self.docs, self.regs, self.tested, self.sets = docs, regs, None, None
+
+    def links(self, pairs: DataFrame, estimated: bool = False) -> DataFrame | None:
+        pairs = pairs.join(self.tested, ["a", "b"], "left_anti") if self.tested is not None else pairs
+        if not estimated:
+            ra, rb = (self.regs.select(F.col("v").alias(x), F.col("regs").alias(f"r{x}")).hint("merge") for x in "ab")
+            pairs = pairs.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb").mapInArrow(_likely, "a long, b long")
+        pairs = materialise(pairs.distinct(), "pairs")
+        if not pairs.limit(1).count():
+            return None
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        ids = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+        if self.sets is None:
+            self.sets = _sets_of(materialise(ids, "ids"), self.docs)
+        else:
+            new = materialise(ids.join(self.sets.select("v"), "v", "left_anti"), "ids")
+            if new.limit(1).count():
+                self.sets = self.sets.union(_sets_of(new, self.docs))
+        sa, sb = (self.sets.select(F.col("v").alias(x), F.col("s").alias(f"s{x}")).hint("merge") for x in "ab")
+        both = pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb")
+        return materialise(both.mapInArrow(_confirm, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -214,29 +245,37 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     sketch = materialise(rows.mapInArrow(_sketches, "doc_id long, n long, s1 long, s2 long, regs binary"), "sketch")
     known = sketch.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialise(known.groupBy("n", "s1", "s2").agg(F.min_by("regs", "doc_id").alias("regs"), F.min("doc_id").alias("v")), "classes")
-    bands = materialise(classes.select("v", "regs").mapInArrow(_bands, "key long, v long"), "bands")
+    bands = classes.select("v", "regs").mapInArrow(_bands, "key long, v long")
     regs = classes.select("v", "regs")
-
-    star = bands.groupBy("key").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    pairs = bands.join(star, "key").where("v <> a").select("a", F.col("v").alias("b")).distinct()
-    pairs = pairs.join(regs.select(F.col("v").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("v").alias("b"), F.col("regs").alias("rb")), "b")
-    likely = materialise(pairs.select("a", "b", "ra", "rb").mapInArrow(_likely, "a long, b long").distinct(), "pairs")
-    links = materialise(_verified(likely, rows), "links")
-    labels = components(links)
+    often = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    shared = materialise(bands.join(often.hint("merge"), "key", "left_semi"), "bands")
+
+    test = _Confirmed(rows, regs)
+    links, labels = None, classes.select("v", F.col("v").alias("comp")).limit(0)
+    own = shared.withColumn("comp", F.col("v"))
+    for _ in range(STARS):
+        # one pair for each document: the smallest centre of its keys that is
+        # of another component
+        star = own.groupBy("key").agg(F.min(F.struct("comp", "v")).alias("c"), F.max("comp").alias("hi")).where("c.comp <> hi")
+        star = star.select("key", F.col("c.comp").alias("a_comp"), F.col("c.v").alias("a"))
+        pairs = own.join(star.hint("merge"), "key").where("comp <> a_comp").groupBy("v").agg(F.min("a").alias("a"))
+        new = test.links(pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")))
+        if new is None:
+            break
+        links = new if links is None else links.union(new)
+        labels = components(links)
+        own = materialise(shared.join(labels.hint("merge"), "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp")), "own")
 
     # keys with several components left
-    own = bands.join(labels, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
-    own = materialise(own, "own")
     open_ = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
     open_ = open_.select("key", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks"))
-    own = own.join(open_, "key").withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    own = own.join(open_.hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "v", "comp").join(regs, "v")
+    own = own.select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "v", "comp").join(regs.hint("merge"), "v")
     cross = own.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "v").select("key", "bi", "bj", "mine", "v", "comp", "regs").mapInArrow(_cross, "a long, b long").distinct()
-    cross = materialise(cross.join(likely, ["a", "b"], "left_anti"), "pairs")
-    if cross.limit(1).count():
-        more = materialise(_verified(cross, rows), "links")
-        labels = components(links.union(more))
+    new = test.links(cross, estimated=True)
+    if new is not None:
+        labels = components(new if links is None else links.union(new))
 
     comp = classes.join(labels, "v", "left").select("n", "s1", "s2", F.coalesce("comp", "v").alias("component"))
     # exact copies of one text meet in one key of this join; skew is split
