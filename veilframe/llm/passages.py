@@ -197,9 +197,6 @@ def _anchor_task(units: Units, shards: int):
     return rows
 
 
-_MARKS = "m_id long, marks binary"
-
-
 def _per_doc(doc: np.ndarray, values: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
     """One row a document with its values as binary."""
     if not len(doc):
@@ -213,7 +210,7 @@ def _per_doc(doc: np.ndarray, values: np.ndarray, name: str) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(doc[a[i : i + 20_000]]), pa.array([values[x:y].tobytes() for x, y in zip(a[i : i + 20_000], b[i : i + 20_000])], pa.binary())], ["m_id", name])
 
 
-def _mark_task(within: bool, hot: int):
+def _mark_task(within: bool, hot: int, shards: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
@@ -232,12 +229,34 @@ def _mark_task(within: bool, hot: int):
         count, keep = np.repeat(count, count), np.repeat(recurs, count)
         # places are not negative: a flagged one is stored as -1 - place
         place = np.where(count > hot, -1 - pos, pos)
-        yield from _per_doc(doc[keep], place[keep].astype("<i4"), "marks")
+        doc, place = doc[keep], place[keep].astype("<i4")
+        order = np.lexsort((pos[keep], doc))
+        yield from _by_shard(_doc_shard(doc[order], shards), 0, [doc[order], place[order]])
+
+    return rows
+
+
+def _doc_shard(doc: np.ndarray, shards: int) -> np.ndarray:
+    return (mix64(doc.view(np.uint64)) % U(shards)).astype(np.int32)
+
+
+def _gather_task(name: str, runs: bool):
+    """One row a document from the packed rows of its shard."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[np.ndarray]]] = {}
+        types = ["<i8", "<i4", "<i4"] if runs else ["<i8", "<i4"]
+        for batch in batches:
+            for shard, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "data")), strict=True):
+                held.setdefault(shard, []).append(_unpack(n, data, types)[0])
+        for shard in list(held):
+            doc, first, *more = (np.concatenate(x) for x in zip(*held.pop(shard), strict=True))
+            yield from _per_doc(doc, first.astype(np.uint64) << U(32) | more[0].astype(np.uint64) if runs else first, name)
 
     return rows
 
 
-def _span_rows(doc: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _span_rows(doc: np.ndarray, starts: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
     """Window starts of documents as runs (start, windows)."""
     if not len(doc):
         return
@@ -247,13 +266,12 @@ def _span_rows(doc: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     new[1:] = (doc[1:] != doc[:-1]) | (starts[1:] > starts[:-1] + 1)
     at = np.flatnonzero(new)
     last = starts[np.append(at[1:], len(starts)) - 1]
-    runs = starts[at].astype(np.uint64) << U(32) | (last - starts[at] + 1).astype(np.uint64)
-    yield from _per_doc(doc[at], runs, "spans")
+    yield from _by_shard(_doc_shard(doc[at], shards), 0, [doc[at], starts[at].astype("<i4"), (last - starts[at] + 1).astype("<i4")])
 
 
-def covered(n: int, parts: list[bytes], length: int) -> np.ndarray:
+def covered(n: int, runs: bytes, length: int) -> np.ndarray:
     """Units of a document of n that its removed windows cover."""
-    runs = np.frombuffer(b"".join(parts), np.uint64)
+    runs = np.frombuffer(runs, np.uint64)
     start, windows = (runs >> U(32)).astype(np.int64), (runs & U(0xFFFFFFFF)).astype(np.int64)
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, start, 1)
@@ -302,7 +320,7 @@ def _stretch_task(units: Units, shards: int):
             for block in text_blocks(batch.column(1)):
                 grams, bounds = units.prepare(block)
                 doc, at, lo, hi, h = anchors(units, grams, bounds)
-                own = [np.frombuffer(b"".join(marks[block.first + i]), "<i4").astype(np.int64) for i in range(len(block))]
+                own = [np.frombuffer(marks[block.first + i], "<i4").astype(np.int64) for i in range(len(block))]
                 tag = np.repeat(np.arange(len(own)), [len(x) for x in own])
                 flat = np.concatenate(own) if own else np.zeros(0, np.int64)
                 place = np.where(flat < 0, -1 - flat, flat) + bounds[tag]
@@ -336,7 +354,7 @@ def _stretch_task(units: Units, shards: int):
                         if gone:
                             g = np.array(gone)
                             who = ids[block.first + d[g]]
-                            yield from _by_shard((mix64(who.view(np.uint64)) % U(shards)).astype(np.int32), 1, [who, (a[g] - bounds[d[g]]).astype("<i4")])
+                            yield from _by_shard(_doc_shard(who, shards), 1, [who, (a[g] - bounds[d[g]]).astype("<i4")])
                         d, a, b, key = d[fresh], a[fresh], b[fresh], key[fresh]
                     begin, end = u0[a], u1[b + units.length - 1]
                     arrays.append((key, ids[block.first + d], (a - bounds[d]).astype("<i4"), (b - a + 1).astype("<i4"), (end - begin).astype("<i4")))
@@ -366,14 +384,14 @@ class Stretches:
     text: list[bytes]
 
 
-def _decide_task(decide: Callable[[Stretches], tuple[np.ndarray, np.ndarray]]):
+def _decide_task(decide: Callable[[Stretches], tuple[np.ndarray, np.ndarray]], shards: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
             for shard, kind, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "n", "data")), strict=True):
                 if kind == 1:
                     (doc, start), _, _ = _unpack(n, data, ["<i8", "<i4"])
-                    yield from _span_rows(doc, start.astype(np.int64))
+                    yield from _span_rows(doc, start.astype(np.int64), shards)
                 else:
                     held.setdefault(shard, []).append((n, data))
         for shard in list(held):
@@ -386,7 +404,7 @@ def _decide_task(decide: Callable[[Stretches], tuple[np.ndarray, np.ndarray]]):
             key, doc, start, windows = (np.concatenate(x) for x in zip(*arrays, strict=True))
             order = np.lexsort((start, doc, key))
             found = decide(Stretches(key[order], doc[order], start[order], windows[order], [text[i] for i in order.tolist()]))
-            yield from _span_rows(*found)
+            yield from _span_rows(*found, shards)
 
     return rows
 
@@ -401,10 +419,9 @@ def repeated_spans(docs: DataFrame, units: Units, decide, apply, schema: str, id
     rows = docs.select(d, F.col(f"`{text_col}`").alias("__text"), *rest).repartition("__id").sortWithinPartitions("__id", "__text")
     slim = rows.select("__id", "__text")
     anchor = slim.mapInArrow(_anchor_task(units, shards), _PACK).repartition("shard")
-    marks = anchor.mapInArrow(_mark_task(units.within, HOT), _MARKS)
-    marks = marks.groupBy("m_id").agg(F.collect_list("marks").alias("marks"))
+    marks = anchor.mapInArrow(_mark_task(units.within, HOT, shards), _PACK).repartition("shard").mapInArrow(_gather_task("marks", False), "m_id long, marks binary")
     stretch = slim.join(marks, F.col("__id") == F.col("m_id"), "left").sortWithinPartitions("__id", "__text").select("__id", "__text", "marks")
     stretch = stretch.mapInArrow(_stretch_task(units, shards), _PACK).repartition("shard")
-    spans = stretch.mapInArrow(_decide_task(decide), "m_id long, spans binary").groupBy("m_id").agg(F.collect_list("spans").alias("spans"))
+    spans = stretch.mapInArrow(_decide_task(decide, shards), _PACK).repartition("shard").mapInArrow(_gather_task("spans", True), "m_id long, spans binary")
     out = rows.join(spans, F.col("__id") == F.col("m_id"), "left").sortWithinPartitions("__id", "__text")
     return out.select("__id", "__text", *["__rest"] * keep_columns, "spans").mapInArrow(apply, schema)
