@@ -11,8 +11,8 @@
    confirmed on the full sets. Links are joined to components, and a second
    round compares each class with the smallest one of another component.
 4. Keys that still hold several components
-   are compared pair by pair across components, in blocks of ``BLOCK_ROWS``
-   that large keys spread over tasks, and confirmed the same way.
+   are compared across components, in blocks of ``BLOCK_ROWS`` that large keys
+   spread over tasks; only confirmed links that join components leave a task.
 
 At similarity 0.75 one band of four agrees with probability 0.32, so a pair
 shares none of 32 bands with probability 5e-6. Estimates under ``FLOOR``
@@ -121,49 +121,101 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(keep)
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components within runs of (key, bi, bj)."""
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole runs of (key, bi, bj) from rows sorted by them."""
     held: list[pa.RecordBatch] = []
-
-    def pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        group = np.stack([t.column(c).to_numpy() for c in ("key", "bi", "bj")], 1)
-        v, comp, mine = (t.column(c).to_numpy() for c in ("v", "comp", "mine"))
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        cut = np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1
-        for a, b in zip([0, *cut], [*cut, len(v)]):
-            if b - a < 2 or (comp[a:b] == comp[a]).all():
-                continue
-            within = group[a, 1] == group[a, 2]
-            for i in range(a, b):
-                other = np.arange(i + 1, b)
-                other = other[(comp[other] != comp[i]) & (within | (mine[other] != mine[i]))]
-                if len(other):
-                    other = other[estimate(regs[other], regs[i]) >= FLOOR]
-                    yield np.minimum(v[other], v[i]), np.maximum(v[other], v[i])
-
-    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        got = list(pairs(t))
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], ["a", "b"])
-
+    columns = lambda t: np.stack([t.column(c).to_numpy() for c in ("key", "bi", "bj")], 1)
     for batch in batches:
         if not batch.num_rows:
             continue
-        # all but the last run of a batch is whole
-        group = np.stack([batch.column(c).to_numpy() for c in ("key", "bi", "bj")], 1)
-        last = group[-1]
-        open_ = np.flatnonzero(np.any(group != last, axis=1))
-        cut = int(open_[-1]) + 1 if len(open_) else 0
+        group = columns(batch)
+        if held and (columns(held[-1].slice(held[-1].num_rows - 1))[0] != group[0]).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        other = np.flatnonzero(np.any(group != group[-1], axis=1))
+        cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
-            yield from out(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-            held = [batch.slice(cut)]
-        elif held and (np.array([held[-1].column(c)[-1].as_py() for c in ("key", "bi", "bj")]) != last).any():
-            yield from out(pa.Table.from_batches(held))
-            held = [batch]
-        else:
-            held.append(batch)
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
     if held:
-        yield from out(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+def _runs(t: pa.Table) -> Iterator[tuple[int, int, bool, np.ndarray, np.ndarray]]:
+    """(from, to, one block, comp, mine) of each run with several components."""
+    group = np.stack([t.column(c).to_numpy() for c in ("key", "bi", "bj")], 1)
+    comp, mine = t.column("comp").to_numpy(), t.column("mine").to_numpy()
+    cut = (np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1).tolist()
+    for a, b in zip([0, *cut], [*cut, len(comp)]):
+        if (comp[a:b] != comp[a]).any():
+            yield a, b, bool(group[a, 1] == group[a, 2]), comp, mine
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a likely partner of another component in their run."""
+    for t in _whole_runs(batches):
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        keep = np.zeros(t.num_rows, bool)
+        for a, b, within, comp, mine in _runs(t):
+            for i in range(a, b - 1):
+                other = np.arange(i + 1, b)
+                other = other[(comp[other] != comp[i]) & (within | (mine[other] != mine[i]))]
+                other = other[estimate(regs[other], regs[i]) >= FLOOR]
+                keep[other] = True
+                keep[i] |= len(other) > 0
+        yield from t.drop_columns(["regs"]).filter(pa.array(keep)).to_batches()
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of some sets."""
+    if len(sets) <= 8:
+        out = np.zeros((len(sets), len(sets)), np.int64)
+        for i, x in enumerate(sets):
+            for j in range(i + 1, len(sets)):
+                at = np.minimum(np.searchsorted(sets[j], x), len(sets[j]) - 1)
+                out[i, j] = (sets[j][at] == x).sum()
+        return out
+    ids, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    rank = np.cumsum(n > 1) - 1
+    both = n[col] > 1
+    row, col = row[both], rank[col[both]]
+    out, width = np.zeros((len(sets), len(sets)), np.int64), 4096
+    for c in range(0, int((n > 1).sum()), width):  # 0/1 columns in strips; sums stay exact
+        own = (col >= c) & (col < c + width)
+        strip = np.zeros((len(sets), width), np.float32)
+        strip[row[own], col[own] - c] = 1
+        out += (strip @ strip.T).astype(np.int64)
+    return out
+
+
+def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links between components, a spanning set of each run's."""
+    for t in _whole_runs(batches):
+        v = t.column("v").to_numpy()
+        links: list[tuple[int, int]] = []
+        for a, b, within, comp, mine in _runs(t):
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("s").slice(a, b - a).to_pylist()]
+            size, inter = np.array([len(x) for x in sets]), _intersections(sets)
+            union = size[:, None] + size[None, :] - inter
+            fine = np.triu(100 * inter >= THRESHOLD * union, 1) & (comp[a:b, None] != comp[None, a:b])
+            if not within:
+                fine &= mine[a:b, None] != mine[None, a:b]
+            root = {c: c for c in comp[a:b].tolist()}
+
+            def top(c: int, root=root) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for i, j in zip(*np.nonzero(fine)):
+                ci, cj = top(int(comp[a + i])), top(int(comp[a + j]))
+                if ci != cj:
+                    root[max(ci, cj)] = min(ci, cj)
+                    links.append((int(v[a + i]), int(v[a + j])))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links]), pa.array([x[1] for x in links])], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,22 +270,24 @@ class _Confirmed:
     def __init__(self, docs: DataFrame, regs: DataFrame):
         self.docs, self.regs, self.tested, self.sets = docs, regs, None, None
 
-    def links(self, pairs: DataFrame, estimated: bool = False) -> DataFrame | None:
-        pairs = pairs.join(self.tested, ["a", "b"], "left_anti") if self.tested is not None else pairs
-        if not estimated:
-            ra, rb = (self.regs.select(F.col("v").alias(x), F.col("regs").alias(f"r{x}")).hint("merge") for x in "ab")
-            pairs = pairs.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb").mapInArrow(_likely, "a long, b long")
-        pairs = materialise(pairs.distinct(), "pairs")
-        if not pairs.limit(1).count():
-            return None
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        ids = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    def sets_for(self, ids: DataFrame) -> DataFrame:
         if self.sets is None:
             self.sets = _sets_of(materialise(ids, "ids"), self.docs)
         else:
             new = materialise(ids.join(self.sets.select("v"), "v", "left_anti"), "ids")
             if new.limit(1).count():
                 self.sets = self.sets.union(_sets_of(new, self.docs))
+        return self.sets
+
+    def links(self, pairs: DataFrame) -> DataFrame | None:
+        pairs = pairs.join(self.tested, ["a", "b"], "left_anti") if self.tested is not None else pairs
+        ra, rb = (self.regs.select(F.col("v").alias(x), F.col("regs").alias(f"r{x}")).hint("merge") for x in "ab")
+        pairs = pairs.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb").mapInArrow(_likely, "a long, b long")
+        pairs = materialise(pairs.distinct(), "pairs")
+        if not pairs.limit(1).count():
+            return None
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        self.sets_for(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
         sa, sb = (self.sets.select(F.col("v").alias(x), F.col("s").alias(f"s{x}")).hint("merge") for x in "ab")
         both = pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb")
         return materialise(both.mapInArrow(_confirm, "a long, b long"), "links")
@@ -272,9 +326,11 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     own = own.join(open_.hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "v", "comp").join(regs.hint("merge"), "v")
-    cross = own.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "v").select("key", "bi", "bj", "mine", "v", "comp", "regs").mapInArrow(_cross, "a long, b long").distinct()
-    new = test.links(cross, estimated=True)
-    if new is not None:
+    dealt = lambda df, *cols: df.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "v").select("key", "bi", "bj", "mine", "v", "comp", *cols)
+    left = materialise(dealt(own, "regs").mapInArrow(_partners, "key long, bi int, bj int, mine int, v long, comp long"), "left")
+    if left.limit(1).count():
+        sets = test.sets_for(left.select("v").distinct())
+        new = materialise(dealt(left.join(sets.hint("merge"), "v"), "s").mapInArrow(_link_runs, "a long, b long"), "links")
         labels = components(new if links is None else links.union(new))
 
     comp = classes.join(labels, "v", "left").select("n", "s1", "s2", F.coalesce("comp", "v").alias("component"))
