@@ -413,7 +413,7 @@ def repeated_spans(docs: DataFrame, units: Units, decide, apply, schema: str, id
     """Runs the five steps; ``apply`` maps batches (doc_id, text, rest, spans)
     to rows of ``schema``, where spans are the window starts to remove."""
     n = partitions(docs.sparkSession)
-    shards = 4 * n
+    shards = max(n, min(4 * n, 256))  # few partitions take several shards each, for balance
     d = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("__id")
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("__rest")] if keep_columns else []
     rows = docs.select(d, F.col(f"`{text_col}`").alias("__text"), *rest).repartition("__id").sortWithinPartitions("__id", "__text")
