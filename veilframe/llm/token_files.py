@@ -218,7 +218,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
     Null text is empty; an empty table writes nothing."""
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "tokens")
-    rows = doc_columns(docs, id_col, text_col, "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = doc_columns(docs, id_col, text_col, "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialise(rows.mapInArrow(_writer(folder, tokenizer or tokenise.default_path(), end_id), _MANIFEST), "token-manifest")
 
 

@@ -10,14 +10,19 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import filterfalse, islice
+from functools import partial
+from itertools import compress, islice
+from operator import is_
 
 import numpy as np
 
-#: Parts kept by each worker (tens of MB at most, as long parts are not kept).
-CACHE_PARTS = 400_000
+#: Parts kept by each worker (some 200 MB at most, as long parts are not kept).
+CACHE_PARTS = 1_000_000
 KEPT_PART_CHARS = 48
 _NEAR_SPACE = re.compile(r"\s | \s| \Z")
+_OTHER_SPACES = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") + tuple(map(chr, range(0x2000, 0x200B)))
+#: Stands for the first part of a text, which has no space before it.
+_NO_PART = "\0 "
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -27,6 +32,16 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _touching_spaces(text: str) -> bool:
+    """A space next to white space or at the end: such a text is not cut."""
+    if "  " in text or "\n " in text or " \n" in text or text[-1] == " ":
+        return True
+    return any(map(text.__contains__, _OTHER_SPACES)) and _NEAR_SPACE.search(text) is not None
+
+
+_is_none = partial(is_, None)
+
+
 class Encoder:
     """``encode(text)`` equals the library's ids of the whole text."""
 
@@ -37,7 +52,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {_NO_PART: b""}
         pre = self.tok.pre_tokenizer
         sizes = sorted((i, len(t)) for t, i in self.tok.get_vocab().items())
         self.token_bytes = np.zeros(sizes[-1][0] + 1, np.int64)
@@ -62,24 +77,34 @@ class Encoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian bytes of ``dtype``."""
-        cache, unseen, cut = self.cache, set(), []
+        cache, get, cut, unseen = self.cache, self.cache.get, [], set()
         for text in texts:
-            parts = None if not text or not self.splits or _NEAR_SPACE.search(text) else text.split(" ")
-            cut.append(parts)
-            if parts:
-                unseen.update(filterfalse(cache.__contains__, parts))
+            if not text or not self.splits or _touching_spaces(text):
+                cut.append((text or "", None, None))
+                continue
+            parts = text.split(" ")
+            first = parts[0]
+            parts[0] = _NO_PART
+            found = list(map(get, parts))
+            if None in found:
+                unseen.update(compress(parts, map(_is_none, found)))
+            else:
+                parts = None
+            cut.append((first, parts, found))
+        fresh: dict[str, bytes] = {}
         unseen = list(unseen)
         for i in range(0, len(unseen), 20_000):
             part = unseen[i : i + 20_000]
-            cache.update(zip(part, self._encode_spaced(part), strict=True))
-        first = self._encode([p[0] if p else t or "" for t, p in zip(texts, cut, strict=True)])
-        out = [f + b"".join(map(cache.__getitem__, islice(p, 1, None))) if p else f for f, p in zip(first, cut, strict=True)]
-        if len(cache) > CACHE_PARTS:
-            cache.clear()
-        else:
-            for p in unseen:
-                if len(p) > KEPT_PART_CHARS:
-                    del cache[p]
+            fresh.update(zip(part, self._encode_spaced(part), strict=True))
+        out = self._encode([first for first, _, _ in cut])
+        for i, (_, parts, found) in enumerate(cut):
+            if parts:
+                found = [fresh[p] if v is None else v for p, v in zip(parts, found)]
+            if found:
+                out[i] += b"".join(found)
+        room = CACHE_PARTS - len(cache)
+        if room > 0:  # the parts met first are the frequent ones
+            cache.update(islice(((p, v) for p, v in fresh.items() if len(p) <= KEPT_PART_CHARS), room))
         return out
 
 
