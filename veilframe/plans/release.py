@@ -45,7 +45,8 @@ def _cell(agg: AggregationColumn, clip, raw: list[float], sigma: float, noise: C
 def _once(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> tuple[DataFrame, bool]:
     """f over all rows of df, computed once; and whether the rows were few."""
     spark = df.sparkSession
-    head = df.limit(DRIVER_KEYS + 1).toPandas()
+    # as objects: a NULL key must not turn integers into floats
+    head = pd.DataFrame([tuple(r) for r in df.limit(DRIVER_KEYS + 1).collect()], columns=df.columns, dtype=object)
     if len(head) <= DRIVER_KEYS:
         rows = f(head).astype(object)
         rows = rows.where(rows.notna(), None)
