@@ -139,9 +139,10 @@ def test_near_duplicates(docs, none, rows):
     assert not near_dedup.near_duplicates(none).count()
 
 
-@pytest.mark.parametrize("hot", [10_000, 2])
-def test_phrases(docs, none, rows, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "local"), [(10_000, 64), (2, 64), (10_000, 1)])
+def test_phrases(docs, none, rows, monkeypatch, hot, local):
     monkeypatch.setattr("veilframe.llm.passages.HOT", hot)
+    monkeypatch.setattr("veilframe.llm.passages.LOCAL_HOT", local)
     first, want = {}, set()
     for doc, text in distinct(rows):
         w, gone = WORD.findall(text), set()
@@ -153,9 +154,10 @@ def test_phrases(docs, none, rows, monkeypatch, hot):
     assert phrase_dedup.without_repeated_phrases(docs).columns == docs.columns and not phrase_dedup.phrase_digest(none).count()
 
 
-@pytest.mark.parametrize("hot", [10_000, 2])
-def test_run_length_index(docs, none, rows, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "local"), [(10_000, 64), (2, 64), (10_000, 1)])
+def test_run_length_index(docs, none, rows, monkeypatch, hot, local):
     monkeypatch.setattr("veilframe.llm.passages.HOT", hot)
+    monkeypatch.setattr("veilframe.llm.passages.LOCAL_HOT", local)
     first, want = {}, set()
     for doc, text in distinct(rows):
         b = text.encode()

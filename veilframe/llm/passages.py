@@ -9,14 +9,17 @@ are anchors.
     docs + marks --(3)--> stretches by shard --(4)--> spans by document
     docs + spans --(5)--> result
 
-(1) every task packs its anchors, one binary row a shard; (2) a shard reports
-the anchors that recur, and flags those of more than ``HOT`` occurrences;
-(3) for a recurring anchor the units of all its windows go to the anchor's
-shard; for a flagged one, every window goes to the shard of its own hash and
-a task sends each distinct window once, so no shard meets a group that grows
-with the corpus; (4) the operator's own method decides exactly, on content;
-(5) spans are applied. Documents are exchanged once by id, and steps 1, 3 and
-5 read that one exchange.
+(1) every task packs its anchors, one binary row a shard; an anchor that a
+task holds more than ``LOCAL_HOT`` times is marked there and then as flagged,
+and one note of it goes to its shard; (2) a shard reports the anchors that
+recur, and flags those that a note names or that occur more than ``HOT``
+times; (3) for a recurring anchor the units of all its windows go to the
+anchor's shard; for a flagged one, every window goes to the shard of its own
+hash and a task sends each distinct window once, so no shard meets a group
+that grows with the rows that share a passage, only with the number of tasks;
+(4) the operator's own method decides exactly, on content; (5) spans are
+applied. Documents are exchanged once by id, and steps 1, 3 and 5 read that
+one exchange.
 
 Rows that share a doc_id are one document, its smallest text; a null doc_id
 stands before all others; a null text has no units.
@@ -36,6 +39,8 @@ from .common import U, TextBlock, gram_hash, mix64, partitions, text_blocks
 
 #: Occurrences beyond which an anchor's windows are dealt by their own hashes.
 HOT = 10_000
+#: Occurrences in one batch of anchors of a task beyond which it does so itself.
+LOCAL_HOT = 64
 NULL_ID = -(1 << 63)
 _POS_BITS = 24
 _FLUSH_ROWS = 1 << 20
@@ -174,7 +179,23 @@ def _short(h: np.ndarray) -> list[np.ndarray]:
     return [(h >> U(24)).astype(np.uint32), (h >> U(56)).astype(np.uint8)]
 
 
-def _anchor_task(units: Units, shards: int):
+def _anchor_rows(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, most: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Kind 0: anchors (hash, doc, place) by their shard; a place of -1 is the
+    note of an anchor that recurs more than ``most`` times here. Kind 1: the
+    flagged marks of its occurrences by the documents' shards."""
+    order = np.argsort(h)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(h[order])) + 1])
+    count = np.diff(np.append(cut, len(h)))
+    often = np.zeros(len(h), bool)  # in order of documents, which packs better
+    often[order[np.repeat(count > most, count)]] = True
+    if often.any():
+        yield from _by_shard(_doc_shard(doc[often], shards), 1, [doc[often], -1 - pos[often]])
+        note = order[cut[count > most]]
+        h, doc, pos = (np.concatenate([x[~often], y]) for x, y in ((h, h[note]), (doc, doc[note]), (pos, np.full(len(note), -1, np.int32))))
+    yield from _by_shard(((h >> U(20)) % U(shards)).astype(np.int32), 0, _short(h) + [doc, pos])
+
+
+def _anchor_task(units: Units, shards: int, most: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
@@ -187,12 +208,10 @@ def _anchor_task(units: Units, shards: int):
                     held.append((h, ids[block.first + doc], (at - bounds[doc]).astype(np.int32)))
                     count += len(doc)
                 if count >= _FLUSH_ROWS:
-                    h, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
-                    yield from _by_shard(((h >> U(20)) % U(shards)).astype(np.int32), 0, _short(h) + [d, p])
+                    yield from _anchor_rows(*(np.concatenate(x) for x in zip(*held, strict=True)), most, shards)
                     held, count = [], 0
         if held:
-            h, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from _by_shard(((h >> U(20)) % U(shards)).astype(np.int32), 0, _short(h) + [d, p])
+            yield from _anchor_rows(*(np.concatenate(x) for x in zip(*held, strict=True)), most, shards)
 
     return rows
 
@@ -214,6 +233,10 @@ def _mark_task(within: bool, hot: int, shards: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
+            known = batch.column("kind").to_numpy() == 1
+            if known.any():  # marks that step 1 made
+                yield batch.filter(pa.array(known))
+                batch = batch.filter(pa.array(~known))
             for shard, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "data")), strict=True):
                 (low, high, doc, pos), _, _ = _unpack(n, data, ["<u4", "u1", "<i8", "<i4"])
                 held.append((U(shard) << U(40) | high.astype(np.uint64) << U(32) | low, doc, pos))
@@ -226,9 +249,10 @@ def _mark_task(within: bool, hot: int, shards: int):
         cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
         count = np.diff(np.append(cut, len(h)))
         recurs = count > 1 if within else np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut)
-        count, keep = np.repeat(count, count), np.repeat(recurs, count)
+        noted = np.minimum.reduceat(pos, cut) < 0
+        flag, keep = np.repeat(noted | (count > hot), count), np.repeat(noted | recurs, count) & (pos >= 0)
         # places are not negative: a flagged one is stored as -1 - place
-        place = np.where(count > hot, -1 - pos, pos)
+        place = np.where(flag, -1 - pos, pos)
         doc, place = doc[keep], place[keep].astype("<i4")
         order = np.lexsort((pos[keep], doc))
         yield from _by_shard(_doc_shard(doc[order], shards), 0, [doc[order], place[order]])
@@ -418,7 +442,7 @@ def repeated_spans(docs: DataFrame, units: Units, decide, apply, schema: str, id
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("__rest")] if keep_columns else []
     rows = docs.select(d, F.col(f"`{text_col}`").alias("__text"), *rest).repartition("__id").sortWithinPartitions("__id", "__text")
     slim = rows.select("__id", "__text")
-    anchor = slim.mapInArrow(_anchor_task(units, shards), _PACK).repartition("shard")
+    anchor = slim.mapInArrow(_anchor_task(units, shards, LOCAL_HOT), _PACK).repartition("shard")
     marks = anchor.mapInArrow(_mark_task(units.within, HOT, shards), _PACK).repartition("shard").mapInArrow(_gather_task("marks", False), "m_id long, marks binary")
     stretch = slim.join(marks, F.col("__id") == F.col("m_id"), "left").sortWithinPartitions("__id", "__text").select("__id", "__text", "marks")
     stretch = stretch.mapInArrow(_stretch_task(units, shards), _PACK).repartition("shard")
