@@ -105,7 +105,7 @@ CASES: dict[str, Case] = {
     "cte_filter_agg": _counted("q AS (SELECT o_custkey AS u, COUNT(o_orderkey) FILTER (WHERE o_totalprice > 150000) AS k FROM orders GROUP BY o_custkey)"),
     "cte_string_funcs": _counted("q AS (SELECT o_custkey AS u, LOWER(SUBSTRING(o_orderpriority, 3, 4)) || '!' AS k FROM orders)"),
     "cte_date_funcs": _counted("q AS (SELECT o_custkey AS u, YEAR(o_orderdate) AS k FROM orders WHERE MONTH(o_orderdate) < 7)"),
-    "cte_math_funcs": _counted("q AS (SELECT user_id AS u, FLOOR(SQRT(ABS(value))) AS k FROM events)"),
+    "cte_math_funcs": _counted("q AS (SELECT user_id AS u, FLOOR(SQRT(ABS(value))) AS k FROM events)", oracle="q AS (SELECT user_id AS u, FLOOR(SQRT(ABS(value)))::BIGINT AS k FROM events)"),
     "cte_conditional_funcs": _counted("q AS (SELECT user_id AS u, COALESCE(NULLIF(event_type, 'click'), 'none') AS k FROM events)"),
     "join_inner": _counted("q AS (SELECT o.o_custkey AS u, n.n_name AS k FROM orders AS o JOIN nation AS n ON o.o_orderkey % 25 = n.n_nationkey)"),
     "join_left": _counted("r AS (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10), q AS (SELECT c.c_custkey AS u, r.n_name AS k FROM customer AS c LEFT JOIN r ON c.c_nationkey = r.n_nationkey)"),
