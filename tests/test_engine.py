@@ -140,7 +140,7 @@ def test_engine(spark):
     assert ok.collect() == ok.collect() and tight.accountant.spent_epsilon == 0.4  # drawn once, charged once
 
 
-@pytest.mark.parametrize("name", ["count_star_by_priority", "multi_agg_single_pass", "covar_samp_clipped", "join_private_private", "bounded_k1_total", "temp_view_roundtrip"])
+@pytest.mark.parametrize("name", sorted(benchmarks.ORACLE_SQL))
 def test_queries_equal_sql(spark, name):
     import duckdb
 

@@ -124,7 +124,7 @@ CASES: dict[str, Case] = {
     "order_limit_offset": Case("SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey ORDER BY n DESC, c_nationkey ASC LIMIT 5 OFFSET 2", "SELECT c_nationkey, count(*)::DOUBLE AS n FROM customer GROUP BY 1 ORDER BY n DESC, c_nationkey LIMIT 5 OFFSET 2"),
     "sql_options_query": Case("SELECT PRIVATE_QUERY OPTIONS (EPSILON = 1e40, DELTA = 0.5, CONTRIBUTION_BOUND = 1000, MIN_FREQUENCY = 1) event_type, SUM(value, 10, 300) AS s FROM events GROUP BY event_type", f"SELECT event_type, round(sum({_V}), 4) AS s FROM events GROUP BY 1", digits=4),
     "bounded_k1_total": Case("SELECT COUNT(*) AS n FROM orders", "SELECT count(DISTINCT o_custkey)::DOUBLE AS n FROM orders", k=1),
-    "noisy_debug_count": Case("SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type", f"SELECT event_type, round(count(*) + 2.5 * {DEBUG_DEVIATE}, 6) AS n FROM events GROUP BY 1", sigma=2.5, digits=6),
+    "noisy_debug_count": Case("SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type", f"SELECT event_type, round((count(*) + 2.5 * {DEBUG_DEVIATE})::DOUBLE, 6) AS n FROM events GROUP BY 1", sigma=2.5, digits=6),
 }
 CASES["cte_window_rank"] = _counted("p AS (SELECT o_custkey, COUNT(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders), q AS (SELECT o_custkey AS u, r AS k FROM p WHERE r <= 3)")
 CASES["cte_window_frame"] = Case("WITH q AS (SELECT user_id, event_type, SUM(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS x FROM events) SELECT event_type, SUM(x) AS s FROM q GROUP BY event_type", f"WITH q AS (SELECT event_type, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS x FROM events) SELECT event_type, round(sum({_clip('x', 0, 400)}), 3) AS s FROM q GROUP BY 1", (((0, 400),),), digits=3)
