@@ -207,3 +207,26 @@ def test_pipeline(spark):
 
     assert [n for n, _ in p.STAGES] == ["quality", "near_duplicates", "repeats", "mix", "pack"]
     assert p.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize(("hot", "local"), [(2, 64), (10_000, 1)])
+def test_repeats_within_first_documents(spark, monkeypatch, hot, local):
+    """A passage stands twice in each of several documents of every task."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr("veilframe.llm.passages.HOT", hot)
+    monkeypatch.setattr("veilframe.llm.passages.LOCAL_HOT", local)
+    rule = "-" * 80 + "The same passage, which every document holds in two places of its own."
+    texts = {i: f"{i} begins {rule} middle {i * 7919} {rule} ends {i}" for i in range(40)}
+    first, want = {}, {}
+    for doc, text in sorted(texts.items()):
+        b = text.encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 49):
+            if first.setdefault(b[i : i + 50], doc) != doc:
+                gone[i : i + 50] = True
+        want[doc] = int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
+    try:
+        got = run_length_dedup.run_length_digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want

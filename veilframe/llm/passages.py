@@ -372,8 +372,10 @@ def _stretch_task(units: Units, shards: int):
                                 if len(firsts) < 100_000:  # a window not kept is sent again, no more
                                     firsts[k] = (int(ids[block.first + d[i]]), text[u0[a[i]] : u1[a[i] + units.length - 1]])
                             elif held[1] == text[u0[a[i]] : u1[a[i] + units.length - 1]]:
-                                fresh[i] = False
+                                # where only another document's copy decides, all
+                                # copies of the first document are sent
                                 if units.within or held[0] != ids[block.first + d[i]]:
+                                    fresh[i] = False
                                     gone.append(i)
                         if gone:
                             g = np.array(gone)
