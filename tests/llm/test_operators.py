@@ -230,3 +230,21 @@ def test_repeats_within_first_documents(spark, monkeypatch, hot, local):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want
+
+
+def test_rows_without_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = ["one text", "other text", "other text", None, f"a {passage}", f"b {passage}"]
+    rows = [(None, t, i) for i, t in enumerate(texts)] + [(5, "one text", 10), (5, "one text", 11), (-(1 << 40), f"c {passage}", 12), (7, "far away", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    cut = {r.n: r.text for r in phrase_dedup.without_repeated_phrases(docs).collect() if r.n not in (10, 11)}
+    assert cut == {0: "one text", 1: "other text", 2: "other text", 3: None, 4: f"a {passage}", 5: "b ", 12: "c ", 13: "far away"}
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in phrase_dedup.phrase_digest(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, n, 0) for n in (0, 2, 2, 2, 31)] + [(None, 31, 30), (5, 2, 0), (-(1 << 40), 31, 30), (7, 2, 0)], key=str)
+    got = [(r.doc_id, r.n_bytes, r.n_removed > 0) for r in run_length_dedup.run_length_digest(docs).collect()]
+    n = len(passage) + 2
+    assert sorted(got, key=str) == sorted([(None, x, False) for x in (0, 8, 10, 10, n)] + [(None, n, True), (5, 8, False), (-(1 << 40), n, True), (7, 8, False)], key=str)
+    left = near_dedup.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    left = [r.n for r in left.collect()]
+    assert sorted(set(left) - {10, 11}) == [0, 1, 2, 3, 4, 5, 12, 13] and len(left) == 9

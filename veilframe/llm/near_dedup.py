@@ -342,9 +342,12 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
 
 
 def without_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """The rows of ``docs`` of which one per group of near-duplicates is left."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs`` of which one per group of near-duplicates is left;
+    all rows without an id stay."""
+    known = docs.where(F.col(f"`{id_col}`").isNotNull())
+    kept = near_duplicates(known, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    known = known.join(kept, known[f"`{id_col}`"].cast("long") == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
+    return known.union(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 def op8_hyperminhash(spark, sf_dir: str) -> DataFrame:

@@ -21,8 +21,9 @@ that grows with the rows that share a passage, only with the number of tasks;
 applied. Documents are exchanged once by id, and steps 1, 3 and 5 read that
 one exchange.
 
-Rows that share a doc_id are one document, its smallest text; a null doc_id
-stands before all others; a null text has no units.
+Rows that share a doc_id are one document, its smallest text; every row with a
+null doc_id is a document of its own, and these stand before all others, in
+order of text; a null text has no units.
 """
 
 from __future__ import annotations
@@ -35,13 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, TextBlock, gram_hash, mix64, partitions, text_blocks
+from .common import U, TextBlock, gram_hash, materialise, mix64, partitions, text_blocks
 
 #: Occurrences beyond which an anchor's windows are dealt by their own hashes.
 HOT = 10_000
 #: Occurrences in one batch of anchors of a task beyond which it does so itself.
 LOCAL_HOT = 64
-NULL_ID = -(1 << 63)
 _POS_BITS = 24
 _FLUSH_ROWS = 1 << 20
 _FLUSH_BYTES = 24 << 20
@@ -435,14 +435,40 @@ def _decide_task(decide: Callable[[Stretches], tuple[np.ndarray, np.ndarray]], s
     return rows
 
 
+def _numbered(nulls: DataFrame, least: int) -> DataFrame:
+    """Rows (__text, ...) without an id, with numbers just below ``least`` as
+    __id, in order of text. Places in partitions are written once, so that no
+    later reading numbers the rows in another way."""
+    spread = nulls.withColumn("__place", F.monotonically_increasing_id())
+    spread = spread.repartitionByRange("__text", "__place").sortWithinPartitions("__text", "__place")
+    rows = materialise(spread.withColumn("__place", F.monotonically_increasing_id()), "null-ids")
+    part = F.shiftright("__place", 33)  # a place is the partition and the row in it
+    counts = sorted(tuple(r) for r in rows.groupBy(part.alias("part")).count().collect())
+    at = least - sum(n for _, n in counts)
+    if at < -(1 << 63):
+        raise ValueError("no numbers are left below the smallest id for the rows without one")
+    first = []
+    for p, n in counts:
+        first.append((p, at))
+        at += n
+    first = nulls.sparkSession.createDataFrame(first, "__part long, __first long")
+    rows = rows.join(F.broadcast(first), part == F.col("__part"))
+    return rows.withColumn("__id", F.col("__first") + F.col("__place").bitwiseAND((1 << 33) - 1))
+
+
 def repeated_spans(docs: DataFrame, units: Units, decide, apply, schema: str, id_col: str, text_col: str, keep_columns: bool = False) -> DataFrame:
     """Runs the five steps; ``apply`` maps batches (doc_id, text, rest, spans)
     to rows of ``schema``, where spans are the window starts to remove."""
     n = partitions(docs.sparkSession)
     shards = max(n, min(4 * n, 256))  # few partitions take several shards each, for balance
-    d = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("__id")
+    d = F.col(f"`{id_col}`").cast("long").alias("__id")
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("__rest")] if keep_columns else []
-    rows = docs.select(d, F.col(f"`{text_col}`").alias("__text"), *rest).repartition("__id").sortWithinPartitions("__id", "__text")
+    rows = docs.select(d, F.col(f"`{text_col}`").alias("__text"), *rest)
+    least, nulls = None, rows.where("__id IS NULL")
+    if nulls.limit(1).count():
+        least = rows.agg(F.coalesce(F.min("__id"), F.lit(0))).first()[0]
+        rows = rows.where("__id IS NOT NULL").union(_numbered(nulls.drop("__id"), least).select(*rows.columns))
+    rows = rows.repartition("__id").sortWithinPartitions("__id", "__text")
     slim = rows.select("__id", "__text")
     anchor = slim.mapInArrow(_anchor_task(units, shards, LOCAL_HOT), _PACK).repartition("shard")
     marks = anchor.mapInArrow(_mark_task(units.within, HOT, shards), _PACK).repartition("shard").mapInArrow(_gather_task("marks", False), "m_id long, marks binary")
@@ -450,4 +476,7 @@ def repeated_spans(docs: DataFrame, units: Units, decide, apply, schema: str, id
     stretch = stretch.mapInArrow(_stretch_task(units, shards), _PACK).repartition("shard")
     spans = stretch.mapInArrow(_decide_task(decide, shards), _PACK).repartition("shard").mapInArrow(_gather_task("spans", True), "m_id long, spans binary")
     out = rows.join(spans, F.col("__id") == F.col("m_id"), "left").sortWithinPartitions("__id", "__text")
-    return out.select("__id", "__text", *["__rest"] * keep_columns, "spans").mapInArrow(apply, schema)
+    out = out.select("__id", "__text", *["__rest"] * keep_columns, "spans").mapInArrow(apply, schema)
+    if least is not None and not keep_columns:
+        out = out.withColumn("doc_id", F.when(F.col("doc_id") >= least, F.col("doc_id")))
+    return out

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_blocks
-from .passages import NULL_ID, Stretches, Units, covered, distinct_docs, repeated_spans
+from .passages import Stretches, Units, covered, distinct_docs, repeated_spans
 
 WINDOW = 20
 UNITS = Units("words", WINDOW, 6, True)
@@ -115,14 +115,9 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         yield batch, out
 
 
-def _ids(batch: pa.RecordBatch) -> pa.Array:
-    ids = batch.column(0).to_numpy()
-    return pa.array(ids, mask=ids == NULL_ID)
-
-
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, out in _cleaned(batches):
-        yield pa.RecordBatch.from_arrays([_ids(batch), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_blocks
-from .passages import NULL_ID, Stretches, Units, byte_grams, covered, distinct_docs, repeated_spans
+from .passages import Stretches, Units, byte_grams, covered, distinct_docs, repeated_spans
 
 WINDOW = 50
 UNITS = Units("bytes", WINDOW, 16, False)
@@ -244,9 +244,8 @@ def _kept(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in distinct_docs(batches):
-        ids = batch.column(0).to_numpy()
         cols = list(zip(*[(n, g, r, hashlib.sha256(k).hexdigest()) for n, g, r, k in _kept(batch)], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), *[pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
