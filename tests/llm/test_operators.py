@@ -248,3 +248,18 @@ def test_rows_without_an_id(spark):
     assert left.columns == docs.columns
     left = [r.n for r in left.collect()]
     assert sorted(set(left) - {10, 11}) == [0, 1, 2, 3, 4, 5, 12, 13] and len(left) == 9
+
+
+def test_added_tokens(spark):
+    import tokenizers
+
+    plain = tokenizers.Tokenizer.from_file(tokenise.default_path())
+    texts = ["end of it.<|endoftext|>Next", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext |> no", "x<|endoftext|><|endoftext|> y  z ", "plain text only"]
+    enc = tokenise.Encoder(tokenise.default_path())
+    for _ in range(2):  # the second time from the cache
+        got = [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode_many(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: plain.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in token_files.read_token_files(token_files.write_token_files(docs), with_ids=True).collect()} == want
+    assert {r.doc_id: r["length"] for r in pack.pack_documents(docs).collect()} == {i: len(x) for i, x in want.items()}

@@ -3,7 +3,8 @@
 A space with a non-space on both sides always begins a new piece of the
 byte-level split, so a text may be cut there and each part encoded alone.
 Parts repeat far more often than texts do; their ids are kept in a bounded
-cache, and the library encodes each unseen part once.
+cache, and the library encodes each unseen part once. A text that holds an
+added token, such as an end-of-text marker, is encoded whole.
 """
 
 from __future__ import annotations
@@ -50,14 +51,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {_NO_PART: b""}
         pre = self.tok.pre_tokenizer
         sizes = sorted((i, len(t)) for t, i in self.tok.get_vocab().items())
         self.token_bytes = np.zeros(sizes[-1][0] + 1, np.int64)
         self.token_bytes[[i for i, _ in sizes]] = [n for _, n in sizes]
-        self.splits = "ByteLevel(add_prefix_space=False" in str(pre) and "use_regex=True" in str(pre) and self.tok.normalizer is None
+        # an added token is found in the whole text before it is split
+        self.added = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
+        self.splits = "ByteLevel(add_prefix_space=False" in str(pre) and "use_regex=True" in str(pre) and self.tok.normalizer is None and not any(" " in t for t in self.added)
 
     def _encode_spaced(self, parts: list[str]) -> list[bytes]:
         """Ids of parts, each after one space: one call for all of them, cut
@@ -79,7 +81,7 @@ class Encoder:
         """Ids of each text as little-endian bytes of ``dtype``."""
         cache, get, cut, unseen = self.cache, self.cache.get, [], set()
         for text in texts:
-            if not text or not self.splits or _touching_spaces(text):
+            if not text or not self.splits or any(map(text.__contains__, self.added)) or _touching_spaces(text):
                 cut.append((text or "", None, None))
                 continue
             parts = text.split(" ")
