@@ -263,3 +263,11 @@ def test_added_tokens(spark):
     want = {i: plain.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
     assert {r.doc_id: r.ids for r in token_files.read_token_files(token_files.write_token_files(docs), with_ids=True).collect()} == want
     assert {r.doc_id: r["length"] for r in pack.pack_documents(docs).collect()} == {i: len(x) for i, x in want.items()}
+
+
+def test_texts_keep_their_spacing(spark):
+    passage = "\n".join(f"p{i}" for i in range(25))
+    texts = ["  clean\ttext\n\nof lines \n", f"first\n{passage}\tend", f" second\t{passage}\n\nlast  line\n", f"{passage}", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in phrase_dedup.without_repeated_phrases(docs).collect()}
+    assert got == dict(enumerate([*texts[:2], " second\t\n\nlast  line\n", "", None, ""]))

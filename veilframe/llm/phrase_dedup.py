@@ -7,8 +7,8 @@ Aho-Corasick automaton over word numbers, and streams its stretches through
 it to locate every occurrence; the first one, in order of doc_id and place,
 stays, and every word that another one covers is removed.
 
-Defined cases: see ``passages``; a text under 20 words loses nothing; kept
-words are joined by one space; an empty table gives no rows.
+Defined cases: see ``passages``; a text under 20 words loses nothing; the
+digest joins kept words by one space; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_blocks
+from .common import TextBlock, text_blocks
 from .passages import Stretches, Units, covered, distinct_docs, repeated_spans
 
 WINDOW = 20
@@ -121,8 +121,26 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, out in _cleaned(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2].decode("utf-8", "replace") for x in out], pa.string())], ["__rest", "__removed", "__clean"])
+    for batch in distinct_docs(batches):
+        texts, spans = batch.column(1), batch.column(batch.num_columns - 1)
+        clean = texts.to_pylist()
+        if spans.null_count < len(spans):
+            for block in text_blocks(texts):
+                block.words()
+                for i in range(len(block)):
+                    if parts := spans[block.first + i].as_py():
+                        clean[block.first + i] = _without(block, i, parts).decode("utf-8", "replace")
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(clean, pa.string())], ["__rest", "__clean"])
+
+
+def _without(block: TextBlock, i: int, parts: bytes) -> bytes:
+    """Text i without the bytes from the first to the last word of each run of
+    covered words; all other bytes stay."""
+    a, b = block.w_bounds[i], block.w_bounds[i + 1]
+    step = np.diff(covered(int(b - a), parts, WINDOW).astype(np.int8), prepend=0, append=0)
+    begin, end = block.w_start[a + np.flatnonzero(step == 1)], block.w_end[a + np.flatnonzero(step == -1) - 1]
+    keep = zip([block.bounds[i], *end], [*begin, block.bounds[i + 1]], strict=True)
+    return b"".join(block.data[x:y].tobytes() for x, y in keep)
 
 
 def phrase_digest(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -131,11 +149,10 @@ def phrase_digest(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
 
 
 def without_repeated_phrases(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``docs`` with repeated passages cut from the texts that lost some words;
-    all other texts are as they were only in their words' order and spacing of
-    one space."""
+    """``docs`` with repeated passages cut from the texts that lost some words,
+    from the first to the last word of each; all else is left as it was."""
     rest = T.StructType([f for f in docs.schema.fields if f.name != text_col])
-    schema = T.StructType([T.StructField("__rest", rest), T.StructField("__removed", T.LongType()), T.StructField("__clean", T.StringType())])
+    schema = T.StructType([T.StructField("__rest", rest), T.StructField("__clean", T.StringType())])
     out = repeated_spans(docs, UNITS, _locate, _texts, schema, id_col, text_col, keep_columns=True)
     return out.select(*[F.col("__clean").alias(c) if c == text_col else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns])
 
