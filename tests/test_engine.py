@@ -152,3 +152,17 @@ def test_queries_equal_sql(spark, name):
     want = con.execute(f"SELECT {cols} FROM ({benchmarks.ORACLE_SQL[name]})").fetchall()
     key = lambda r: tuple(str(round(x, 4) if isinstance(x, float) else x) for x in r)
     assert sorted(map(key, map(tuple, out.collect()))) == sorted(map(key, want))
+
+
+def test_remaining_queries_beyond_a_thousand():
+    from veilframe.functions.calibrate import gaussian_sigma
+
+    ledger = acc.PLDAccountant(1.0, 1e-5, 1e-4)
+    n = ledger.remaining_queries(0.004, 1e-7)
+    sigma = gaussian_sigma(0.004, 1e-7, 1.0)
+    assert n > 1000 and gaussian_delta(sigma / math.sqrt(n), 1.0, 1.0) <= 1e-5
+    few, one = acc.PLDAccountant(1.0, 1e-5, 1e-3), acc.PrivacyLoss.gaussian(gaussian_sigma(0.1, 1e-6, 1.0), 1.0, 1e-3)
+    loss, steps = one, 0
+    while loss.epsilon(1e-5) <= 1.0:
+        loss, steps = loss.then(one), steps + 1
+    assert few._remaining(0.1, 1e-6) == steps

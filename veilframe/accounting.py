@@ -183,13 +183,14 @@ class PLDAccountant(Accountant):
     def _remaining(self, epsilon, delta) -> int:
         """How often a Gaussian of this (epsilon, delta) still fits."""
         sigma = gaussian_sigma(epsilon, delta, 1.0)
-        loss, n = self.loss, 0
-        one = PrivacyLoss.gaussian(sigma, 1.0, self.step)
-        while n < 1000:  # each step is a convolution
-            loss = loss.then(one)
-            if loss.epsilon(self.delta) > self.epsilon:
-                break
-            n += 1
+        fits = lambda loss: loss.epsilon(self.delta) <= self.epsilon
+        powers, n = [PrivacyLoss.gaussian(sigma, 1.0, self.step)], 0  # of 1, 2, 4, ... releases
+        while 1 << len(powers) <= MAX_REMAINING_QUERIES and fits(self.loss.then(powers[-1])):
+            powers.append(powers[-1].then(powers[-1]))
+        loss = self.loss
+        for k in reversed(range(len(powers))):  # the binary digits of the count
+            if n + (1 << k) <= MAX_REMAINING_QUERIES and fits(more := loss.then(powers[k])):
+                loss, n = more, n + (1 << k)
         return n
 
 
