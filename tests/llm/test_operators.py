@@ -271,3 +271,64 @@ def test_texts_keep_their_spacing(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in phrase_dedup.without_repeated_phrases(docs).collect()}
     assert got == dict(enumerate([*texts[:2], " second\t\n\nlast  line\n", "", None, ""]))
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage by brute force, on null ids, line breaks, repeated rows and ties."""
+    from collections import Counter
+
+    import corpus_pipeline as p
+
+    r = random.Random(8)
+    words = lambda n: [f"v{r.randint(0, 400)}" for _ in range(n)]
+    passage = "\n".join(words(30))
+    base = [words(60) for _ in range(6)]
+    texts = ["\n".join(base[0]), " ".join(base[0]), " ".join([*base[1], "more"]), " ".join(base[1]), f"x\n{passage}\ty", f" z {passage}\n\nw", "line one\nline two\n", "", None, " ".join(base[2])]
+    rows = [(i, t, f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
+    rows += [(None, t, "s1", len(t)) for t in (" ".join(base[3]), "no id\nat all", "no id\nat all", " ".join(base[0]))] + [rows[6]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    counted = lambda df: Counter(tuple(x) for x in df.collect())
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    model = quality.fit(docs, labels)
+    good = counted(quality.with_quality(docs, model).where("score >= 0.5").select(*docs.columns))
+    assert counted(p.keep_good(spark, docs, str(tmp_path))) == good and set(good) <= set(rows)
+
+    sets = {}
+    for doc, text, *_ in rows:
+        w = (text or "").split()
+        sets[doc] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    near = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    # no chains here: a document stays if it has no smaller near copy
+    stay = [d for d in range(10) if not any(near(d, e) for e in range(d))]
+    assert stay == [0, 2, 4, 6, 7, 8, 9]
+    assert counted(p.drop_near_copies(spark, docs, "")) == Counter([rows[d] for d in stay] + rows[10:14])
+
+    seen, want = set(), Counter()
+    distinct_rows = sorted((x for x in rows if x[0] is None), key=lambda x: x[1]) + rows[:10]
+    for doc, text, source, _ in distinct_rows:
+        spans = [m.span() for m in WORD.finditer(text or "")]
+        w, gone = [text[a:b] for a, b in spans], set()
+        for i in range(len(w) - 19):
+            if tuple(w[i : i + 20]) in seen:
+                gone |= set(range(i, i + 20))
+            seen.add(tuple(w[i : i + 20]))
+        cut = [any({i, i + 1} <= gone and b <= at < spans[i + 1][0] for i, (_, b) in enumerate(spans[:-1])) or any(i in gone and a <= at < b for i, (a, b) in enumerate(spans)) for at in range(len(text or ""))]
+        text = None if text is None else "".join(c for c, x in zip(text, cut) if not x)
+        want[doc, text, source, None if text is None else len(text)] += 1
+    assert counted(p.cut_repeats(spark, docs, "")) == want
+
+    copies = Counter()
+    slim = mix_sources.sample_copies(docs)
+    for x in slim.collect():
+        copies[x.doc_id, x["source"]] += x.copies
+    mixed = p.mix(spark, docs, "").collect()
+    got = Counter((x.doc_id, x["source"]) for x in mixed)
+    assert got == +copies and {tuple(x) for x in mixed} <= set(rows)
+
+    import tokenizers
+
+    plain = tokenizers.Tokenizer.from_file(tokenise.default_path())
+    lengths = Counter((doc, len(plain.encode(text or "", add_special_tokens=False).ids) + 1) for doc, text, *_ in rows)
+    assert Counter((x.doc_id, x["length"]) for x in p.pack_sequences(spark, docs, "").collect()) == lengths
