@@ -7,6 +7,7 @@ the fixed debug deviate.
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from .sources.catalog import load_views
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 UNITS = {"orders": "o_custkey", "customer": "c_custkey", "events": "user_id", "lineitem": "l_orderkey"}
-K = 1_000_000
+K = 1000
 
 
 @dataclass(frozen=True)
@@ -34,18 +35,21 @@ class Case:
     digits: int | None = None
     sigma: float = 0.0
     k: int = K
+    budget: tuple[float, float] | None = None  # with debug noise
 
 
-def engine(spark: SparkSession, sf_dir: str, mode: NoiseMode = NoiseMode.SECURE) -> Engine:
-    load_views(spark, sf_dir, TABLES)
-    own = Engine(spark, RenyiAccountant(1.0, 1.0), mode)
-    own.register_database(None, UNITS)
+def engine(spark: SparkSession, sf_dir: str, mode: NoiseMode = NoiseMode.SECURE, sql: str = "", budget: tuple[float, float] = (1.0, 1.0)) -> Engine:
+    """An engine over the tables that the query names (all, if none is given)."""
+    named = set(re.findall(r"\w+", sql)) & set(TABLES) or set(TABLES)
+    load_views(spark, sf_dir, sorted(named))
+    own = Engine(spark, RenyiAccountant(*budget), mode)
+    own.register_database(None, {t: u for t, u in UNITS.items() if t in named})
     return own
 
 
 def run(case: Case) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = engine(spark, sf_dir, NoiseMode.DEBUG if case.sigma else NoiseMode.SECURE)
+        own = engine(spark, sf_dir, NoiseMode.DEBUG if case.sigma or case.budget else NoiseMode.SECURE, case.sql, case.budget or (1.0, 1.0))
         params = None
         if "PRIVATE_QUERY" not in case.sql:
             with warnings.catch_warnings():
@@ -126,6 +130,20 @@ CASES: dict[str, Case] = {
     "bounded_k1_total": Case("SELECT COUNT(*) AS n FROM orders", "SELECT count(DISTINCT o_custkey)::DOUBLE AS n FROM orders", k=1),
     "noisy_debug_count": Case("SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type", f"SELECT event_type, round((count(*) + 2.5 * {DEBUG_DEVIATE})::DOUBLE, 6) AS n FROM events GROUP BY 1", sigma=2.5, digits=6),
 }
+# kinds of expressions
+CASES |= {
+    "cte_bitwise": _counted("q AS (SELECT user_id AS u, event_id & 6 | 1 << 3 ^ 5 AS k FROM events WHERE event_id % 16 | 2 & 4 > 3)", oracle="q AS (SELECT user_id AS u, (event_id & 6) | xor(1 << 3, 5) AS k FROM events WHERE ((event_id % 16) | (2 & 4)) > 3)"),
+    "cte_unary": _counted("q AS (SELECT user_id AS u, CAST(- -value / 100 AS INTEGER) + - -1 AS k FROM events WHERE ! value > 400 AND ~event_id < -2)", oracle="q AS (SELECT user_id AS u, trunc(value / 100)::INTEGER + 1 AS k FROM events WHERE NOT value > 400 AND ~event_id < -2)"),
+    "cte_like_escape": _counted(f"q AS (SELECT {_O} FROM orders WHERE o_orderpriority NOT LIKE '%!_%' ESCAPE '!' AND o_orderpriority LIKE '_-%U%' AND o_orderpriority <> 'a\n$')", oracle=f"q AS (SELECT {_O} FROM orders WHERE o_orderpriority NOT LIKE '%!_%' ESCAPE '!' AND o_orderpriority LIKE '_-%U%')"),
+    "cte_tuple_in": _counted(f"q AS (SELECT {_O} FROM orders WHERE (o_orderstatus, o_orderpriority) IN (('O', '1-URGENT'), ('F', '5-LOW')))"),
+    "cte_array_funcs": _counted("q AS (SELECT user_id AS u, SIZE(SPLIT(event_type, 'c')) + CASE WHEN ARRAY_CONTAINS(ARRAY('click', 'view'), event_type) THEN 10 ELSE 0 END AS k FROM events)", oracle="q AS (SELECT user_id AS u, len(string_split(event_type, 'c')) + CASE WHEN event_type IN ('click', 'view') THEN 10 ELSE 0 END AS k FROM events)"),
+    "cte_map_funcs": _counted("q AS (SELECT user_id AS u, ELEMENT_AT(MAP_FROM_ARRAYS(ARRAY('click', 'view'), ARRAY(1, 2)), event_type) AS k FROM events)", oracle="q AS (SELECT user_id AS u, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 END AS k FROM events)"),
+    "join_cross": _counted("q AS (SELECT c.c_custkey AS u, r.r_name AS k FROM customer AS c CROSS JOIN region AS r ON c.c_nationkey > r.r_regionkey * 4)", oracle="q AS (SELECT c.c_custkey AS u, r.r_name AS k FROM customer AS c JOIN region AS r ON c.c_nationkey > r.r_regionkey * 4)"),
+    "var_stddev_covar_names": Case(f"{_LINES}SELECT l_returnflag, VAR(l_quantity) AS v, STDDEV(l_quantity) AS s, COVAR(l_quantity, l_discount) AS c FROM q GROUP BY l_returnflag", f"SELECT l_returnflag, round(var_samp({_Q}), 4) AS v, round(stddev_samp({_Q}), 4) AS s, round(covar_samp({_Q}, {_D}), 4) AS c FROM lineitem GROUP BY 1", (((5, 40),), ((5, 40),), ((5, 40), (0.0, 0.08))), digits=4),
+    # epsilon 4 and delta 1e-4 in two shares: the scales are 1.8152 and 1.8936
+    # (delta halved), tau is 5 + 1.8936 * 4.0556, every draw the debug deviate
+    "budgeted_debug_count": Case("SELECT PRIVATE_QUERY OPTIONS (EPSILON = 4, DELTA = 0.0001, CONTRIBUTION_BOUND = 1, MIN_FREQUENCY = 5) c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment", f"SELECT c_mktsegment, round((count(*) + 1.8152111997 * {DEBUG_DEVIATE})::DOUBLE, 4) AS n FROM customer GROUP BY 1 HAVING count(DISTINCT c_custkey) >= 5 AND count(DISTINCT c_custkey) + 1.8936173002 * {DEBUG_DEVIATE} >= 12.6798054145", digits=4, budget=(5.0, 1e-3)),
+}
 CASES["cte_window_rank"] = _counted("p AS (SELECT o_custkey, COUNT(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders), q AS (SELECT o_custkey AS u, r AS k FROM p WHERE r <= 3)")
 CASES["cte_window_frame"] = Case("WITH q AS (SELECT user_id, event_type, SUM(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS x FROM events) SELECT event_type, SUM(x) AS s FROM q GROUP BY event_type", f"WITH q AS (SELECT event_type, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS x FROM events) SELECT event_type, round(sum({_clip('x', 0, 400)}), 3) AS s FROM q GROUP BY 1", (((0, 400),),), digits=3)
 CASES["cte_json_func"] = _counted("q AS (SELECT user_id AS u, GET_JSON_OBJECT(props, '$.k') AS k FROM events)", oracle="q AS (SELECT user_id AS u, json_extract_string(props, '$.k') AS k FROM events)")

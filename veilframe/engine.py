@@ -10,6 +10,7 @@ from .accounting import Accountant
 from .errors import EngineError, ExecutionBackendError, InsufficientPrivacyBudgetError, InvalidPrivacyParametersError, ValidationError
 from .functions.noise import NoiseMode
 from .model import DPParams
+from .plans.guard import check_relations, check_text
 from .plans.release import release
 from .plans.sql import Parser, Query
 from .sources import catalog
@@ -19,17 +20,17 @@ class Engine:
     def __init__(self, spark: SparkSession, accountant: Accountant, noise_mode: NoiseMode = NoiseMode.SECURE, strict: bool = True, enforce_global_min_frequency: bool = False):
         self.spark, self.accountant, self.mode, self.strict = spark, accountant, noise_mode, strict
         self.enforce_global_min_frequency = enforce_global_min_frequency
-        self.db_schema: dict[str | None, dict[str, list[str]]] = {}
+        self.db_schema: dict[str | None, catalog.Schema] = {}
         self.privacy_unit_columns: dict[tuple[str | None, str], str] = {}
 
     def register_database(self, db: str | None = None, privacy_unit_columns: dict[str, str] | None = None) -> None:
         """Records the tables of a database and the privacy units of some."""
         found = catalog.schema(self.spark, db)
-        by_name = {t.lower(): {c.lower() for c in cols} for t, cols in found.items()}
+        by_name = {t.lower(): t for t in found}
         for table, column in (privacy_unit_columns or {}).items():
             if table.lower() not in by_name:
                 raise EngineError(f"table {table} does not exist")
-            if column.lower() not in by_name[table.lower()]:
+            if column.lower() not in {c.lower() for c in found[by_name[table.lower()]]}:
                 raise EngineError(f"column {column} does not exist in {table}")
         self.db_schema[db] = found
         self.privacy_unit_columns |= {(db, t): c for t, c in (privacy_unit_columns or {}).items()}
@@ -47,6 +48,8 @@ class Engine:
         view = None if temporary_table_name is None else self._view_name(temporary_table_name)
         if not self.accountant.check_budget(query.aggregates, dpparams):
             raise InsufficientPrivacyBudgetError("the privacy budget does not suffice")
+        check_text(query.inner_sql)
+        check_relations(self.spark, query.inner_sql, query.relations)
         try:
             inner = self.spark.sql(query.inner_sql)
         except Exception as e:
@@ -61,8 +64,16 @@ class Engine:
             out.createTempView(view)
         return out
 
+    def get_db_schema(self, db: str | None = None) -> dict[str, list[str]]:
+        """Tables of a database with their columns."""
+        return dict(catalog.schema(self.spark, db))
+
     def _view_name(self, name: str) -> str:
-        name = name[5:] if name.lower().startswith("temp.") else name
+        """The view's name; temp.x and global_temp.x name plain views too."""
+        if "." in name:
+            space, _, name = name.partition(".")
+            if space.lower() not in ("temp", "global_temp"):
+                raise ValidationError("a temporary table is no part of a database")
         if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
             raise ValidationError("a temporary table needs a plain name")
         if self.spark.catalog.tableExists(name):

@@ -10,15 +10,28 @@ from ..errors import ValidationError
 from ..functions.kernels import quoted
 
 HELPER = "__veil_"
+#: The largest k for which Spark limits groups before it shuffles them.
+GROUP_LIMIT = 1000
+#: Parts of a unit, for larger k.
+PARTS = 64
 
 
 def bound_contributions(df: DataFrame, unit: str, k: float) -> DataFrame:
-    """At most k random rows of each privacy unit (NULL: one unit)."""
+    """At most k random rows of each privacy unit (NULL: one unit).
+
+    Up to ``GROUP_LIMIT`` a task sends k rows of a unit at most. Beyond it the
+    rows of a unit are first dealt by chance to ``PARTS`` parts, of which k
+    rows each are kept, so no task sorts a whole hot unit.
+    """
     if any(c.lower().startswith(HELPER) for c in df.columns):
         raise ValidationError(f"column names may not begin with {HELPER}")
-    order = W.partitionBy(quoted(unit)).orderBy(f"{HELPER}order")
-    ranked = df.withColumn(f"{HELPER}order", F.rand()).withColumn(f"{HELPER}rank", F.row_number().over(order))
-    return ranked.where(F.col(f"{HELPER}rank") <= int(k)).drop(f"{HELPER}order", f"{HELPER}rank")
+    order, rank = F.col(f"{HELPER}order"), F.col(f"{HELPER}rank")
+    first = lambda rows, *by: rows.withColumn(f"{HELPER}rank", F.row_number().over(W.partitionBy(quoted(unit), *by).orderBy(order))).where(rank <= int(k))
+    rows = df.withColumn(f"{HELPER}order", F.rand())
+    if k > GROUP_LIMIT:
+        part = F.floor(order * (PARTS << 20)) % PARTS  # finer digits than those that rank
+        rows = first(rows, part).drop(rank)
+    return first(rows).drop(f"{HELPER}order", f"{HELPER}rank")
 
 
 def unit_counts(df: DataFrame, unit: str, keys: list[str], least: float) -> DataFrame:

@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,9 @@ from ..model import Aggregation, AggregationColumn, DPParams, bounds
 from ..operators.private import HELPER, bound_contributions, keep_keys, unit_counts
 
 DRIVER_KEYS = 100_000
+#: Estimated bytes of input beyond which raw statistics are written before
+#: they are counted, as a second run would cost more than the write.
+WRITE_FIRST = 4 << 30
 
 
 def _cell(agg: AggregationColumn, clip, raw: list[float], sigma: float, noise: Callable[[float, float], float]) -> float:
@@ -42,20 +45,37 @@ def _cell(agg: AggregationColumn, clip, raw: list[float], sigma: float, noise: C
     return f(*raw, low, high, sigma, noise, a in (Aggregation.VAR_SAMP, Aggregation.STDDEV_SAMP))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, or
+    the warehouse if that is no local path or the master is local."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if root.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local["):
+            raise ExecutionBackendError("set spark.checkpoint.dir to a folder that all machines share")
+    return root.rstrip("/")
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/release-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _once(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> tuple[DataFrame, bool]:
     """f over all rows of df, computed once; and whether the rows were few."""
     spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) > WRITE_FIRST:
+        df = _written(df)
     # as objects: a NULL key must not turn integers into floats
     head = pd.DataFrame([tuple(r) for r in df.limit(DRIVER_KEYS + 1).collect()], columns=df.columns, dtype=object)
     if len(head) <= DRIVER_KEYS:
         rows = f(head).astype(object)
         rows = rows.where(rows.notna(), None)
         return spark.createDataFrame([tuple(r) for r in rows.itertuples(index=False)], schema), True
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/release-{uuid.uuid4().hex}"
-    df.mapInPandas(lambda parts: map(f, parts), schema).write.parquet(path)
-    return spark.read.schema(schema).parquet(path), False
+    return _written(df.mapInPandas(lambda parts: map(f, parts), schema)), False
 
 
 def release(inner: DataFrame, unit: str, items: list[AggregationColumn | str], keys: list[str], params: DPParams, order=(), limit: int | None = None, offset: int = 0, mode: NoiseMode = NoiseMode.SECURE, enforce_global_min_frequency: bool = False) -> DataFrame:
