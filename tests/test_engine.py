@@ -260,14 +260,19 @@ def test_operators_bind_as_in_the_host(spark):
         assert spark.sql(q.inner_sql).first()["k"] == want, text
 
 
-def test_units_beyond_the_group_limit(spark):
+def test_units_beyond_the_group_limit(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     from veilframe.operators import private
 
     rows = spark.range(9000).select(F.when(F.col("id") < 6000, F.lit(None)).otherwise(F.col("id") % 3).alias("uid"), "id")
-    got = {r.uid: r["count"] for r in private.bound_contributions(rows, "uid", 1500).groupBy("uid").count().collect()}
-    assert got == {None: 1500, 0: 1000, 1: 1000, 2: 1000}
+    count = lambda df: {r.uid: r["count"] for r in df.groupBy("uid").count().collect()}
+    want = {None: 1500, 0: 1000, 1: 1000, 2: 1000}
+    assert count(private.bound_contributions(rows, "uid", 1500)) == want
+    assert private.heavy_units(rows, "uid", 1500) == [None] and private.heavy_units(rows, "uid", 6000) == []
+    assert count(private.bound_contributions(rows, "UID", 1500, [None])) == want and private.bound_contributions(rows, "uid", 6000, []).count() == 9000
+    monkeypatch.setattr(private, "HEAVY_UNITS", 1)
+    assert private.heavy_units(rows, "uid", 10) is None
 
 
 def test_many_keys_are_drawn_once_by_tasks(spark, monkeypatch):
@@ -284,14 +289,19 @@ def test_many_keys_are_drawn_once_by_tasks(spark, monkeypatch):
         assert len(rows) == 50 and sorted(out.collect()) == sorted(rows) and any(x.n != 10 for x in rows)
 
 
-def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace as Stub
+
     from veilframe.errors import ExecutionBackendError
     from veilframe.plans import release
 
-    assert release.shared_folder(spark)
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    def session(master, warehouse, **conf):
+        return Stub(conf={"spark.sql.warehouse.dir": warehouse}, sparkContext=Stub(master=master, getConf=lambda: Stub(get=lambda k, d: conf.get("folder", d))))
+
+    assert release.shared_folder(session("local[4]", "file:/w")) == "file:/w" and release.shared_folder(session("yarn", "hdfs://w/")) == "hdfs://w"
+    assert release.shared_folder(session("yarn", "/w", folder="hdfs://c")) == "hdfs://c"
     with pytest.raises(ExecutionBackendError):
-        release.shared_folder(spark)
+        release.shared_folder(session("spark://somewhere:7077", "/w"))
 
 
 def test_parameters_come_from_one_place(spark):

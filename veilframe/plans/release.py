@@ -1,8 +1,12 @@
-"""The fixed plan of one release, in two Spark jobs.
+"""The fixed plan of one release, in three Spark jobs.
 
-    bound -> count units by key -> two thresholds          (job 1)
+    count rows by unit: which units exceed the bound       (job 1)
+    bound -> count units by key -> two thresholds          (job 2)
     inner semi-joined with the selected keys -> bound again
-          -> one aggregation with all kernels -> noise      (job 2)
+          -> one aggregation with all kernels -> noise      (job 3)
+
+Job 1 moves one number a unit and spares both bounds their shuffle and sort
+of all rows where no unit, or few, exceed k.
 
 Noise is drawn once: on the driver for up to ``DRIVER_KEYS`` keys, otherwise
 by tasks into a written table, so that no later action draws it again.
@@ -24,7 +28,7 @@ from ..functions.calibrate import noise_parameters
 from ..functions.kernels import Kernels
 from ..functions.noise import NoiseMode, gaussian
 from ..model import Aggregation, AggregationColumn, DPParams, bounds
-from ..operators.private import HELPER, bound_contributions, keep_keys, unit_counts
+from ..operators.private import HELPER, bound_contributions, heavy_units, keep_keys, unit_counts
 
 DRIVER_KEYS = 100_000
 #: Estimated bytes of input beyond which raw statistics are written before
@@ -63,11 +67,17 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """The estimated size of the relations that df reads; rows of the driver's
+    own, such as selected keys, have no estimate."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(x.stats().sizeInBytes())) for x in map(leaves.apply, range(leaves.size())) if x.nodeName() != "LogicalRDD")
+
+
 def _once(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> tuple[DataFrame, bool]:
     """f over all rows of df, computed once; and whether the rows were few."""
     spark = df.sparkSession
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    if sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) > WRITE_FIRST:
+    if _input_bytes(df) > WRITE_FIRST:
         df = _written(df)
     # as objects: a NULL key must not turn integers into floats
     head = pd.DataFrame([tuple(r) for r in df.limit(DRIVER_KEYS + 1).collect()], columns=df.columns, dtype=object)
@@ -107,8 +117,9 @@ def release(inner: DataFrame, unit: str, items: list[AggregationColumn | str], k
         return pd.DataFrame(out, columns=names)
 
     try:
+        heavy = heavy_units(inner, unit, k)
         if keys or enforce_global_min_frequency:
-            counts = unit_counts(bound_contributions(inner, unit, k), unit, keys, params.min_frequency)
+            counts = unit_counts(bound_contributions(inner, unit, k, heavy), unit, keys, params.min_frequency)
             chosen = T.StructType([T.StructField(x, lower[x.lower()].dataType) for x in keys])
             if keys:
                 selected, few = _once(counts, select, chosen)
@@ -117,7 +128,8 @@ def release(inner: DataFrame, unit: str, items: list[AggregationColumn | str], k
                 row = counts.first()
                 if row is None or noise(row[0], sigma_thr) < tau:
                     return inner.sparkSession.createDataFrame([], schema)
-        rows = bound_contributions(inner, unit, k)
+        # fewer rows have no more heavy units
+        rows = bound_contributions(inner, unit, k, heavy)
         totals = rows.groupBy(*[f"`{x}`" for x in keys]).agg(*kernels.columns.values())
         out, _ = _once(totals, draw, schema)
     except Exception as e:  # messages of the host may hold values of rows
