@@ -332,3 +332,63 @@ def test_pipeline_stages(spark, tmp_path):
     plain = tokenizers.Tokenizer.from_file(tokenise.default_path())
     lengths = Counter((doc, len(plain.encode(text or "", add_special_tokens=False).ids) + 1) for doc, text, *_ in rows)
     assert Counter((x.doc_id, x["length"]) for x in p.pack_sequences(spark, docs, "").collect()) == lengths
+
+
+def _auc(y, score):
+    order = np.argsort(score)
+    rank = np.empty(len(y))
+    rank[order] = np.arange(1, len(y) + 1)
+    n = y.sum()
+    return (rank[y > 0].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
+
+
+def test_toxicity_of_a_pair_that_tells_nothing_alone():
+    import pyarrow as pa
+
+    def made(n, seed):
+        r, texts, y = random.Random(seed), [], []
+        for _ in range(n):
+            w, a, b = [f"w{r.randint(0, 300)}" for _ in range(30)], r.random() < 0.5, r.random() < 0.5
+            for held, term in ((a, "ratlike"), (b, "islander")):
+                if held:
+                    w.insert(r.randint(0, 30), term)
+            texts.append(" ".join(w))
+            y.append(float(a == b))
+        blocks = [toxicity.terms(block) for block in toxicity.text_blocks(pa.array(texts))]
+        return pa.array(texts), [x[i:j].astype(np.int32) for x, at in blocks for i, j in zip(at, at[1:])], np.array(y)
+
+    _, sets, y = made(1200, 1)
+    model = toxicity.train(sets, y)
+    texts, _, want = made(400, 2)
+    assert _auc(want, toxicity.scorer(model)(texts)) >= 0.95
+    alone = toxicity.scorer(model | {"v": np.zeros_like(model["v"])})(texts)
+    assert _auc(want, alone) <= 0.65
+
+
+def test_toxicity_on_held_out_rows(spark):
+    path = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    rows = toxicity.op6_factorization_toxicity(spark, path).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    y, score, said = (np.array([float(r[k]) for r in rows]) for k in ("toxic", "score", "predicted"))
+    assert _auc(y, score) >= 0.97 and (said * y).sum() / y.sum() >= 0.85 and (said * y).sum() / said.sum() >= 0.85
+
+
+def test_one_passage_of_many_decides(monkeypatch):
+    import pyarrow as pa
+
+    def made(n, seed):
+        r, texts, y = random.Random(seed), [], []
+        for _ in range(n):
+            parts = [" ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(48)) for _ in range(r.randint(10, 40))]
+            y.append(float(r.random() < 0.5))
+            if y[-1]:  # one passage with some numbers
+                parts[r.randrange(len(parts))] = " ".join(str(r.randint(1, 999)) if i % 4 == 0 else "abc" for i in range(48))
+            texts.append(" ".join(parts))
+        blocks = [quality.passages(block) for block in quality.text_blocks(pa.array(texts))]
+        return pa.array(texts), [x[i:j] for x, at in blocks for i, j in zip(at, at[1:])], np.array(y)
+
+    _, bags, y = made(400, 3)
+    model = quality.train(bags, y)
+    texts, _, want = made(200, 4)
+    right = lambda m: ((quality.scorer(m)(texts) >= 0.5) == (want > 0.5)).mean()
+    assert right(model) >= 0.95 and right(model | {"w": np.zeros_like(model["w"])}) <= 0.8

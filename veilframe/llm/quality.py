@@ -131,7 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col="quality", modulus: int =
         return None
     bags = [np.frombuffer(b, np.float16).reshape(-1, FEATURES) for b in got.column("x").to_pylist()]
     order = sorted(range(len(bags)), key=lambda i: (len(bags[i]), y[i], bags[i].tobytes()))  # however tasks end
-    bags, y = [bags[i] for i in order], y[order]
+    return train([bags[i] for i in order], y[order])
+
+
+def train(bags: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
+    """The model from passage features and labels of both kinds."""
     rng = np.random.default_rng(SEED)
     init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float64)
     p = {"W": init(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": init(HIDDEN, GATES), "U": init(HIDDEN, GATES), "w": init(GATES), "c": init(HIDDEN), "c0": np.zeros(1)}

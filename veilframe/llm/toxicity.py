@@ -11,9 +11,12 @@ terms, so a pair can count for more than its two terms do. ``x_i`` is
 damped a little, but one insult in a long text still counts.
 
 Fitted on at most ``SAMPLE_DOCS`` labelled documents (a documented bound;
-only hashed terms reach the driver). Terms in fewer than ``MIN_DOCS`` of them,
-or whose presence does not depend on the label (chi-squared under
-``MIN_CHI2``), have weight and factors 0. Scoring streams all texts once.
+only hashed terms reach the driver). A term has a weight and factors if its
+presence depends on the label (chi-squared of ``MIN_CHI2`` or more), or if a
+pair that it is in does: among the ``PAIR_TERMS`` terms that most toxic rows
+hold, either term of such a pair must tell the label once the other one is
+there (``PAIR_CHI2``), so neither needs to tell anything alone. All others
+have weight and factors 0. Scoring streams all texts once.
 
 Defined cases: a null or empty text has no terms and scores the bias; without
 labels of both kinds all scores are 0; repeated rows score alike; extra
@@ -34,6 +37,7 @@ from .learned import append_score, held_out, sigmoid, training_rows
 
 BUCKETS, FACTORS, EPOCHS, SEED = 1 << 18, 4, 10, 3
 SAMPLE_DOCS, MIN_DOCS, MIN_CHI2 = 16_000, 3, 11.0
+PAIR_TERMS, PAIR_DOCS, PAIR_CHI2 = 2048, 8, 30.0
 _BEGINNINGS = (4, 6)
 
 
@@ -85,22 +89,56 @@ def _telling(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     ids, label = np.concatenate(sets), np.repeat(y, [len(s) for s in sets])
     df = np.bincount(ids, minlength=BUCKETS).astype(np.float64)
     a = np.bincount(ids, label, BUCKETS)
-    n, pos = len(y), y.sum()
-    expected = df * pos / n
-    gap = np.maximum(0, np.abs(a - expected) - 0.5)
-    spread = np.maximum(1e-9, df * (1 - df / n) * pos / n * (1 - pos / n))
-    return (df >= MIN_DOCS) & (gap**2 / spread >= MIN_CHI2)
+    return (df >= MIN_DOCS) & (_chi2(df, a, len(y), y.sum()) >= MIN_CHI2)
+
+
+def _chi2(df, a, n, pos):
+    """Of n rows, ``pos`` of them toxic, df hold a term, a of those toxic."""
+    share = pos / np.maximum(n, 1)
+    gap = np.maximum(0, np.abs(a - df * share) - 0.5)
+    return gap**2 / np.maximum(1e-9, df * (1 - df / np.maximum(n, 1)) * share * (1 - share))
+
+
+def _telling_in_pairs(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets that tell the label together with another one."""
+    out = np.zeros(BUCKETS, bool)
+    toxic = np.flatnonzero(y > 0.5)
+    held = np.bincount(np.concatenate([sets[i] for i in toxic]), minlength=BUCKETS)
+    few = np.argsort(-held, kind="stable")[:PAIR_TERMS]
+    few = np.sort(few[held[few] >= PAIR_DOCS])
+    place = np.full(BUCKETS, -1)
+    place[few] = np.arange(len(few))
+    x = np.zeros((len(y), len(few)), bool)
+    for i, s in enumerate(sets):
+        at = place[s]
+        x[i, at[at >= 0]] = True
+    in_toxic = x[toxic].astype(np.float32)
+    both = in_toxic.T @ in_toxic
+    alone = np.diag(both)
+    i, j = np.nonzero(np.triu((both >= PAIR_DOCS) & (both * len(toxic) > 1.25 * alone[:, None] * alone[None, :]), 1))
+    df, bits = x.sum(0), np.packbits(x, axis=0).T.copy()
+    for p in range(0, len(i), 4096):
+        a, b = i[p : p + 4096], j[p : p + 4096]
+        n = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64)
+        tells = np.minimum(_chi2(n, both[a, b], df[a], alone[a]), _chi2(n, both[a, b], df[b], alone[b])) >= PAIR_CHI2
+        out[few[a[tells]]] = out[few[b[tells]]] = True
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col="toxic", modulus: int = 4, remainder: int = 2, sample_docs: int = SAMPLE_DOCS, id_col="doc_id", text_col="text") -> dict | None:
+    """The machine, or None without labels of both kinds."""
     got = training_rows(docs, labels, label_col, modulus, remainder, sample_docs, id_col, text_col).mapInArrow(_rows, "x binary, label double").toArrow()
     y = got.column("label").to_numpy()
     if len(np.unique(y)) < 2:
         return None
     sets = [np.frombuffer(b, np.int32) for b in got.column("x").to_pylist()]
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), y[i], sets[i].tobytes()))  # however tasks end
-    y, sets = y[order], [sets[i] for i in order]
-    often = _telling(sets, y)
+    return train([sets[i] for i in order], y[order])
+
+
+def train(sets: list[np.ndarray], y: np.ndarray) -> dict:
+    """The machine from term sets and labels of both kinds."""
+    often = _telling(sets, y) | _telling_in_pairs(sets, y)
     sets = [s[often[s]].astype(np.int64) for s in sets]
     rng = np.random.default_rng(SEED)
     model = {"w0": 0.0, "used": often, "w": np.zeros(BUCKETS, np.float32), "v": (0.01 * rng.standard_normal((BUCKETS, FACTORS)) * often[:, None]).astype(np.float32)}
@@ -121,9 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col="toxic", modulus: int = 4,
             gw[used] += g**2
             model["w"][used] -= 0.05 * g / np.sqrt(gw[used])
             dv = dx[:, None] * (s[own] - v * x[own, None])
-            g = np.stack([np.bincount(at, dv[:, f], len(used)) for f in range(FACTORS)], 1) + 1e-2 * model["v"][used]
+            g = np.stack([np.bincount(at, dv[:, f], len(used)) for f in range(FACTORS)], 1) + 3e-2 * model["v"][used]
             gv[used] += g**2
-            model["v"][used] -= 0.01 * g / np.sqrt(gv[used])
+            model["v"][used] -= 0.02 * g / np.sqrt(gv[used])
     model["v"][~often] = 0
     return model
 
