@@ -2,8 +2,8 @@
 
 Sources in code-point order (null last) take the weights in turn and share
 all words; a source's target stops at ``max_repeat`` times its words and the
-rest is shared again by weight (water filling, in closed form by windows over
-the small table of sources). Within a source every document expects
+rest is shared again by weight (water filling, by sums over the table of
+sources until no more of them stop). Within a source every document expects
 ``target / size`` copies. Documents stand in order of size, so a prefix sum
 of expected copies plus one random offset crosses an integer once for every
 copy, and the words taken stay within one document's size of the target.
@@ -14,8 +14,9 @@ source in each partition is summed over partitions.
 
 Defined cases: null or empty text has size 0; a source of size 0 takes
 nothing; a null source is a source of its own; rows with equal doc_id, source
-and size are equal for sampling, and their copies add up; an empty table
-gives no rows. Other columns are carried by ``mixed_documents`` only.
+and size are told apart by a hash of the text, and are equal for sampling
+beyond that; an empty table gives no rows. Other columns are carried by
+``mixed_documents`` only.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import doc_columns, materialise
+from .common import materialise
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -32,28 +33,35 @@ SEED = 20
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """source, source_size, target for rows (source, size); one row a source."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    everything = W.partitionBy()
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_repeat))).withColumn("total", F.sum("source_size").over(everything).cast("double"))
-    # capped sources come first in order of cap / weight; level: the share of
-    # one unit of weight if all before are capped and none after
-    order = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)))
-    level = F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(everything)
-    per = per.withColumn("lambda", level)
-    return per.select("source", "source_size", F.least(F.col("cap"), F.col("lambda") * F.col("weight")).alias("target"))
-
-
-def sample_copies(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED, id_col="doc_id", text_col="text", source_col="source", extra=()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row."""
-    slim = doc_columns(docs, id_col, source_col, "source", text_col, "text", *[x for e in extra for x in (e, e)])
-    slim = slim.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"), *extra)
-    ranged = slim.repartitionByRange(F.col("source").asc_nulls_last(), "size", "doc_id").sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "doc_id")
+def source_targets(ranged: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """source, source_size, target of rows (source, size, at), where ``at``
+    numbers the rows in order of source: part above 33 bits, row below."""
+    per = ranged.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("at").alias("first"))
+    per = materialise(per.withColumn("s_part", F.shiftright("first", 33)), "sources")
+    # places of sources: within the part where each begins, after all earlier parts
+    starts = per.groupBy("s_part").agg(F.count(F.lit(1)).alias("starts"))  # one row a part
+    starts = starts.select(F.col("s_part").alias("b_part"), (F.sum("starts").over(W.orderBy("s_part")) - F.col("starts")).alias("earlier"))
+    place = F.col("earlier") + F.row_number().over(W.partitionBy("s_part").orderBy("first")) - 1
+    per = per.join(starts, F.col("s_part") == F.col("b_part")).withColumn("place", place)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    per = per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(max_repeat))).alias("cap"))
+    # the words of one unit of weight: sources that stop at their cap leave
+    # the rest to the others, until no more of them stop
+    total, level, stopped = float(per.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
+    while True:
+        stops = F.col("cap") < F.lit(level) * F.col("weight")
+        got = per.agg(F.count(F.when(stops, 1)), F.sum(F.when(stops, F.col("cap"))), F.sum(F.when(~stops, F.col("weight")))).first()
+        if got[0] == stopped or not got[2]:
+            break
+        stopped, level = got[0], (total - (got[1] or 0.0)) / got[2]
+    return per.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
+
+
+def _copies(slim: DataFrame, weights, max_repeat: int, seed: int) -> DataFrame:
+    """Adds source_size, target and copies to rows (doc_id, source, size,
+    order, ...); ``order`` tells rows apart that agree in the first three."""
+    keys = [F.col("source").asc_nulls_last(), "size", "doc_id"]
+    ranged = slim.repartitionByRange(*keys).sortWithinPartitions(*keys, "order").drop("order")
     ranged = materialise(ranged.select("*", F.monotonically_increasing_id().alias("at")).withColumn("part", F.shiftright("at", 33)), "mix")
     targets = source_targets(ranged, weights, max_repeat)
     runs = ranged.groupBy("part", "source").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
@@ -72,18 +80,28 @@ def sample_copies(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT
     rows = rows.withColumn("place", F.when((F.col("part_copy") > 0) & (unit % 2 == 1), back).otherwise(F.col("rank")))
     crossed = lambda k: F.floor(k.cast("double") * F.col("part_copy") + F.col("offset"))
     copies = F.floor("rate") + crossed(F.col("place")) - crossed(F.col("place") - 1)
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *extra)
-
-
-def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (0 to 3 times)."""
-    keyed = docs.withColumn("__mix_id", F.col(f"`{id_col}`")).withColumn("__mix_hash", F.xxhash64(F.col(f"`{text_col}`")))
-    slim = keyed.select(F.col("__mix_id"), F.col(f"`{source_col}`").alias("__mix_source"), F.col(f"`{text_col}`").alias("__mix_text"), F.col("__mix_hash").alias("__mix_hash"))
-    taken = sample_copies(slim, id_col="__mix_id", text_col="__mix_text", source_col="__mix_source", extra=("__mix_hash",), **options)
-    taken = taken.groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("__mix_hash").alias("t_hash")).agg(F.sum("copies").alias("__mix_copies")).where("__mix_copies > 0")
-    keyed = keyed.dropDuplicates(["__mix_id", "__mix_hash", source_col])
-    both = keyed.join(taken, keyed["__mix_id"].eqNullSafe(taken["t_id"]) & (F.col("__mix_hash") == F.col("t_hash")) & keyed[f"`{source_col}`"].eqNullSafe(taken["t_source"]))
-    return both.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[c for c in slim.columns if c != "order"], "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    size = F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), F.xxhash64(text).alias("order"), *more)
+
+
+def sample_copies(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for every row."""
+    return _copies(_slim(docs, id_col, text_col, source_col), weights, max_repeat, seed)
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (0 to
+    ``max_repeat`` times). A row travels as one value, so columns of any name
+    and rows that differ in any column keep what they hold."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    taken = _copies(_slim(docs, id_col, text_col, source_col, whole), weights, max_repeat, seed).where("copies > 0")
+    taken = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
