@@ -6,8 +6,9 @@ fixed) and cues into a packet table: track, timestamp, byte range, cluster.
 ``mux_pcm`` stores bytes losslessly as 8-bit PCM packets.
 
 Defined cases: null or empty content is 64 zero bytes; equal contents give
-equal files; other columns are ignored; an empty table gives no rows; a
-damaged file raises ``MediaError`` with its byte position.
+equal files; other columns are ignored; an empty table gives no rows; for a
+damaged file ``parse`` raises ``MediaError`` with its byte position and
+``packet_table`` gives one row with that message and no packet.
 """
 
 from __future__ import annotations
@@ -31,9 +32,13 @@ SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xB5, 0x9F, 0x6264
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE = 0x4282
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 
 FRAME, FRAMES_A_BLOCK, BLOCKS_A_CLUSTER, RATE = 1024, 8, 4, 8000
 _MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
+#: Elements of a segment: each of them ends a cluster of unknown size.
+_OF_SEGMENT = {SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, CHAPTERS, TAGS, ATTACHMENTS}
+_MAX_DEPTH = 16
 
 
 class MediaError(ValueError):
@@ -129,7 +134,24 @@ def parse(buf: bytes) -> Media:
     return media
 
 
-def _walk(buf: bytes, at: int, stop: int, parent: int, media: Media, place: dict) -> int:
+def _number(buf: bytes, at: int, end: int) -> int:
+    value = int.from_bytes(buf[at:end], "big")
+    if value >= 1 << 63:
+        raise MediaError(f"number too large at byte {at}")
+    return value
+
+
+def _float(buf: bytes, at: int, end: int) -> float:
+    if end - at not in (0, 4, 8):
+        raise MediaError(f"no float of {end - at} bytes at byte {at}")
+    return struct.unpack({0: "", 4: ">f", 8: ">d"}[end - at], buf[at:end])[0] if end > at else 0.0
+
+
+def _walk(buf: bytes, at: int, stop: int, parent: int, media: Media, place: dict, unknown: bool = False, depth: int = 0) -> int:
+    """Elements of one parent; the place after it, which for a parent of
+    unknown size is where an element begins that it cannot hold."""
+    if depth > _MAX_DEPTH:
+        raise MediaError(f"elements are nested too deeply at byte {at}")
     while at < stop:
         begin = at
         ident, at = vint(buf, at, True)
@@ -140,19 +162,19 @@ def _walk(buf: bytes, at: int, stop: int, parent: int, media: Media, place: dict
             end = at + size
             if end > stop:
                 raise MediaError(f"element at byte {begin} ends after its parent")
-        if parent == CLUSTER and ident in (CLUSTER, CUES) and stop != place.get("cluster_end"):
-            return begin  # an unknown-size cluster ends where the next one begins
+        if unknown and (parent == CLUSTER and ident in _OF_SEGMENT or ident in (SEGMENT, EBML)):
+            return begin
         if ident in _MASTERS:
             if ident == SEGMENT:
                 place["segment"] = at
             elif ident == CLUSTER:
-                place["cluster"], place["time"], place["cluster_end"] = len(media.clusters), 0, end if size >= 0 else None
+                place["cluster"], place["time"] = len(media.clusters), 0
                 media.clusters.append((begin, 0))
             elif ident == TRACK_ENTRY:
                 place["track"] = {}
             elif ident == CUE_POINT:
                 place["cue"] = [0, 0, 0]
-            end = _walk(buf, at, end, ident, media, place)
+            end = _walk(buf, at, end, ident, media, place, size < 0, depth + 1)
             if ident == TRACK_ENTRY:
                 media.tracks[place["track"].get("number", 0)] = place["track"]
             elif ident == CUE_POSITIONS:
@@ -160,36 +182,43 @@ def _walk(buf: bytes, at: int, stop: int, parent: int, media: Media, place: dict
         elif ident in (SIMPLE_BLOCK, BLOCK):
             _block(buf, at, end, media, place)
         elif ident == CLUSTER_TIMESTAMP:
-            place["time"] = int.from_bytes(buf[at:end], "big")
+            if not media.clusters:
+                raise MediaError(f"cluster timestamp outside of a cluster at byte {begin}")
+            place["time"] = _number(buf, at, end)
             media.clusters[-1] = (media.clusters[-1][0], place["time"])
         elif ident == CUE_TIME:
-            place["cue"][0] = int.from_bytes(buf[at:end], "big")
+            place["cue"][0] = _number(buf, at, end)
         elif ident == CUE_TRACK:
-            place["cue"][1] = int.from_bytes(buf[at:end], "big")
+            place["cue"][1] = _number(buf, at, end)
         elif ident == CUE_CLUSTER:
-            place["cue"][2] = place["segment"] + int.from_bytes(buf[at:end], "big")
+            place["cue"][2] = place["segment"] + _number(buf, at, end)
         elif ident == DOC_TYPE:
             media.doc_type = buf[at:end].decode("ascii", "replace")
         elif ident == TIMESTAMP_SCALE:
-            media.scale = int.from_bytes(buf[at:end], "big")
+            media.scale = _number(buf, at, end)
         elif ident in (TRACK_NUMBER, TRACK_TYPE, CHANNELS, BIT_DEPTH):
-            place["track"][{TRACK_NUMBER: "number", TRACK_TYPE: "type", CHANNELS: "channels", BIT_DEPTH: "bits"}[ident]] = int.from_bytes(buf[at:end], "big")
+            place["track"][{TRACK_NUMBER: "number", TRACK_TYPE: "type", CHANNELS: "channels", BIT_DEPTH: "bits"}[ident]] = _number(buf, at, end)
         elif ident == CODEC_ID:
             place["track"]["codec"] = buf[at:end].decode("ascii", "replace")
         elif ident == SAMPLING_FREQUENCY:
-            place["track"]["rate"] = struct.unpack(">d" if end - at == 8 else ">f", buf[at:end])[0] if end > at else 0.0
+            place["track"]["rate"] = _float(buf, at, end)
         at = end
     return at
 
 
 def _block(buf: bytes, at: int, end: int, media: Media, place: dict) -> None:
+    buf, begin = buf[:end], at  # nothing is read beyond the block
     track, at = vint(buf, at)
+    if track < 0 or at + 3 > end:
+        raise MediaError(f"block at byte {begin} has no whole header")
     shift, flags = struct.unpack_from(">hB", buf, at)
     at += 3
     lacing = flags >> 1 & 3
     if not lacing:
         sizes = [end - at]
     else:
+        if at >= end:
+            raise MediaError(f"block at byte {begin} has no lace count")
         n = buf[at] + 1
         at += 1
         if lacing == 2:
@@ -202,11 +231,15 @@ def _block(buf: bytes, at: int, end: int, media: Media, place: dict) -> None:
                 if lacing == 1:
                     size = 0
                     while True:
+                        if at >= end:
+                            raise MediaError(f"lace sizes of the block at byte {begin} are cut off")
                         size, at = size + buf[at], at + 1
                         if buf[at - 1] != 255:
                             break
                 elif not i:
                     size, at = vint(buf, at)
+                    if size < 0:
+                        raise MediaError(f"lace of unknown size in the block at byte {begin}")
                 else:
                     before = at
                     value, at = vint(buf, at)
@@ -260,19 +293,24 @@ def media_column(docs: DataFrame, with_media: bool = False, id_col="doc_id", tex
     return doc_columns(docs, id_col, text_col, "text").mapInArrow(_column(with_media), _ROWS + ", media binary" * with_media)
 
 
-_PACKETS = "id long, packet int, track int, timestamp long, start long, length long, cluster int, lacing int"
+_PACKETS = "id long, packet int, track long, timestamp long, start long, length long, cluster int, lacing int, error string"
 
 
 def packet_table(media: DataFrame, id_col="doc_id", media_col="media") -> DataFrame:
-    """One row a packet of every Matroska file in a binary column (null: none)."""
+    """One row a packet of every Matroska file in a binary column (null: none);
+    a damaged file has one row, with ``error`` and nothing else but its id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "packet", "track", "timestamp", "start", "length", "cluster", "lacing"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names = ["id", "packet", "track", "timestamp", "start", "length", "cluster", "lacing", "error"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
             for ident, buf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if buf and (found := parse(buf).packets):
-                    cols = [[ident] * len(found), range(len(found)), *zip(*found, strict=True)]
+                try:
+                    found = parse(buf).packets if buf else []
+                    cols = [[ident] * len(found), range(len(found)), *zip(*found, strict=True), [None] * len(found)]
+                except MediaError as e:
+                    found, cols = [e], [[ident], *[[None]] * 7, [str(e)]]
+                if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return doc_columns(media, id_col, media_col, "media").mapInArrow(rows, _PACKETS)
