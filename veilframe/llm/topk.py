@@ -8,11 +8,18 @@ rotated components plus the Cauchy-Schwarz bound of the residuals, and the
 exact integer product of what is left. Thresholds are the k-th best score
 among the longest vectors (a seed of fixed size) and then the best so far.
 
+Parts of about ``PART_ROWS`` candidates are searched in waves, each several
+times as many parts as all before, longest vectors first; between waves the
+best of each query are merged and its threshold rises. A merge goes by (query,
+some of the parts) and then by query, so no task meets one query's rows of all
+parts.
+
 Queries are a stated set: they are written once to the shared folder as
 blocks, and every task streams the blocks past its candidates, so neither
 side is broadcast or collected.
 
-Defined cases: vectors that are null or hold null, NaN or infinite components
+Defined cases: a table with a vector whose integers have a length of 2**31 or
+more is refused, as scores might not fit a long; vectors that are null or hold null, NaN or infinite components
 take no part; shorter vectors count as padded with zeros; rows that repeat a
 vec_id are candidates each, and a query's own id is never its candidate; ties
 go to the smaller id; fewer than k candidates give fewer rows; an empty table
@@ -32,7 +39,10 @@ from pyspark.sql import functions as F
 from .common import materialise, open_fs, shared_path
 
 SCALE, K, QUERY_EVERY = 1024, 10, 100
+LONGEST = 2.0**31
 SEED_ROWS, QUERY_BLOCK, PART_ROWS, HEAD = 2048, 256, 16384, 16
+#: Parts of the first wave, and by how much a wave is larger than the one before.
+FIRST_WAVE, WAVE = 64, 8
 
 
 def integer_vectors(rows: DataFrame, id_col="vec_id", vector_col="embedding", scale: int = SCALE) -> DataFrame:
@@ -41,6 +51,7 @@ def integer_vectors(rows: DataFrame, id_col="vec_id", vector_col="embedding", sc
     whole = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))
     rows = rows.where(v.isNotNull() & F.col(f"`{id_col}`").isNotNull()).where(F.forall(v, whole))
     rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    # integers beyond 64 bits are cut to them, and are too long still
     return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
@@ -120,10 +131,20 @@ def _search(uri: str, vt: np.ndarray, k: int, d: int):
     head = min(HEAD, d)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1), d)) for b in batches if b.num_rows]
-        if not held:
-            return
-        ids, c = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])  # PART_ROWS or so
+        held, n = [], 0
+        for b in batches:
+            for i in range(0, b.num_rows, PART_ROWS):
+                part = b.slice(i, PART_ROWS)
+                held.append((part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), d)))
+                n += part.num_rows
+                if n >= PART_ROWS:
+                    yield from one(held)
+                    held, n = [], 0
+        if held:
+            yield from one(held)
+
+    def one(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, c = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         norm = np.sqrt((c.astype(np.float64) ** 2).sum(1))
         order = np.lexsort((ids, -norm))
         ids, c, norm = ids[order], c[order], norm[order]
@@ -179,8 +200,10 @@ def top_k(rows: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_col="v
     """query_id, rank, vec_id, score of the k best candidates of every query."""
     spark = rows.sparkSession
     vectors = materialise(integer_vectors(rows, id_col, vector_col, scale), "vectors")
-    size = vectors.agg(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    size = vectors.agg(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n"), F.max("norm2").alias("longest")).first()
     d, n = max(1, size["d"] or 1), size["n"]
+    if (size["longest"] or 0) >= LONGEST**2:  # by Cauchy-Schwarz all sums below are exact
+        raise ValueError("a vector is too long for scores of 64 bits")
     vt = rotation(vectors, d)
     seed = vectors.orderBy(F.col("norm2").desc(), "vec_id").limit(SEED_ROWS).select("vec_id", "v").toArrow().combine_chunks()
     seed_ids, seed_rows = seed.column("vec_id").to_numpy(), _matrix(seed.column("v").combine_chunks(), d) if seed.num_rows else np.zeros((0, d), np.int64)
@@ -188,10 +211,34 @@ def top_k(rows: DataFrame, k: int = K, query_every: int = QUERY_EVERY, id_col="v
     queries = vectors.where(F.pmod("vec_id", F.lit(query_every)) == 0).select("vec_id", "v")
     queries.mapInArrow(_seeded(seed_ids, seed_rows, k, d), "vec_id long, v array<long>, least double").write.parquet(uri)
     parts = max(1, -(-n // PART_ROWS))
-    ranged = vectors.repartitionByRange(parts, F.col("norm2").desc(), "vec_id").select("vec_id", "v")
-    hits = ranged.mapInArrow(_search(uri, vt, k, d), "query_id long, vec_id long, score long")
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranged = vectors.repartitionByRange(parts, F.col("norm2").desc(), "vec_id")
+    if parts > FIRST_WAVE:
+        ranged = materialise(ranged.withColumn("part", F.spark_partition_id()), "ranged")
+    best, begin, end = None, 0, min(parts, FIRST_WAVE)
+    while True:
+        wave = ranged if parts <= FIRST_WAVE else ranged.where((F.col("part") >= begin) & (F.col("part") < end))
+        hits = wave.select("vec_id", "v").mapInArrow(_search(uri, vt, k, d), "query_id long, vec_id long, score long")
+        best = _merged(hits if best is None else hits.union(best.select(*hits.columns)), k, end - begin)
+        if end >= parts:
+            return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        best = materialise(best, "best")
+        kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("k_id"), F.col("score").cast("double").alias("kth"))
+        old = spark.read.parquet(uri)
+        uri = shared_path(spark, "queries")
+        # rows that repeat a vec_id have one threshold
+        risen = old.join(kth, old["vec_id"] == kth["k_id"], "left").select("vec_id", "v", F.greatest("least", F.coalesce("kth", "least")).alias("least"))
+        risen.write.parquet(uri)
+        begin, end = end, min(parts, end + end * WAVE)
+
+
+def _merged(hits: DataFrame, k: int, parts: int) -> DataFrame:
+    """The k best hits of each query, with their ranks."""
+    by = W.orderBy(F.col("score").desc(), "vec_id")
+    if parts > 16:
+        some = F.pmod(F.xxhash64("vec_id"), F.lit(int(parts**0.5))).alias("__some")
+        first = W.partitionBy("query_id", "__some").orderBy(F.col("score").desc(), "vec_id")
+        hits = hits.withColumn("__some", some).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(by.partitionBy("query_id"))).where(F.col("rank") <= k)
 
 
 def op9_exact_top_k(spark, sf_dir: str) -> DataFrame:
