@@ -392,3 +392,124 @@ def test_one_passage_of_many_decides(monkeypatch):
     texts, _, want = made(200, 4)
     right = lambda m: ((quality.scorer(m)(texts) >= 0.5) == (want > 0.5)).mean()
     assert right(model) >= 0.95 and right(model | {"w": np.zeros_like(model["w"])}) <= 0.8
+
+
+def test_mix_keeps_every_row_whole(spark):
+    from collections import Counter
+
+    rows = [(i % 7 if i % 5 else None, "word " * (i % 9), f"s{i % 2}" if i % 3 else None, i, "kept") for i in range(60)]
+    rows += [(3, "the same text", "s1", 100 + i, "kept") for i in range(6)]  # alike but for one column
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __mix_id int, copies string").repartition(4)
+    got = Counter(tuple(r) for r in mix_sources.mixed_documents(docs).collect())
+    assert set(got) <= set(rows) and max(got.values()) <= 3
+    copies = mix_sources.sample_copies(docs)
+    assert Counter() + Counter((r.doc_id, r.source, len(WORD.findall(r.text))) for r in mix_sources.mixed_documents(docs).collect()) == +sum((Counter({(r.doc_id, r.source, r["size"]): r.copies}) for r in copies.collect()), Counter())
+
+
+def test_mix_takes_what_it_aims_at(docs, spark):
+    from collections import Counter
+
+    for table in (docs, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
+        rows = mix_sources.sample_copies(table).collect()
+        taken, target, size, largest = Counter(), {}, {}, Counter()
+        for r in rows:
+            taken[r.source] += r.copies * r["size"]
+            target[r.source], size[r.source] = r.target, r.source_size
+            largest[r.source] = max(largest[r.source], r["size"])
+        assert all(abs(taken[s] - target[s]) <= 2 * largest[s] for s in target)
+        # water filling by hand
+        names, share = sorted(target, key=lambda s: (s is None, s)), {}
+        weight = {s: (1.0, 2.0, 3.0)[i % 3] for i, s in enumerate(names)}
+        while True:
+            open_ = [s for s in names if s not in share]
+            level = (sum(size.values()) - sum(share.values())) / sum(weight[s] for s in open_)
+            over = [s for s in open_ if level * weight[s] > 3 * size[s]]
+            if not over:
+                break
+            share |= {s: 3.0 * size[s] for s in over}
+        share |= {s: level * weight[s] for s in open_}
+        assert target == pytest.approx(share)
+
+
+def test_damaged_media_raise_one_error(spark):
+    r = random.Random(9)
+    whole = media.mux_pcm(bytes(range(256)) * 40)
+    xiph = media.element(media.SIMPLE_BLOCK, b"\x81\x00\x05\x02" + bytes([2, 255, 1, 3]) + b"a" * 256 + b"bbb" + b"cccc")
+    laced = media._HEAD + media.element(media.SEGMENT, media.element(media.CLUSTER, media._uint(media.CLUSTER_TIMESTAMP, 100) + xiph))
+    bad = [media.element(media.SIMPLE_BLOCK, b"\x81\x00"), media._uint(media.CLUSTER_TIMESTAMP, 3), media.element(media.SIMPLE_BLOCK, b"\x81\x00\x05\x02\x03\xff\xff"), media.element(media.SAMPLING_FREQUENCY, b"abc"), media.element(media.CUE_TIME, b"\xff" * 9), media.element(media.CLUSTER, b"") * 3 + media.element(media.SIMPLE_BLOCK, b"\x81\x00\x05\x06\x01\xff")]
+    deep = b""
+    for _ in range(2000):
+        deep = media.element(media.SEGMENT, deep)
+    for buf in [*bad, deep]:
+        with pytest.raises(media.MediaError):
+            media.parse(buf)
+    for _ in range(3000):
+        buf = bytearray(r.choice((whole, laced)))
+        for _ in range(r.randint(1, 4)):
+            buf[r.randrange(len(buf))] = r.randrange(256)
+        try:
+            media.parse(bytes(buf[: r.randint(1, len(buf))]))
+        except media.MediaError:
+            pass
+    files = spark.createDataFrame([(1, bytearray(whole)), (2, bytearray(bad[0])), (3, None), (4, bytearray(b""))], "doc_id long, media binary")
+    table = media.packet_table(files).collect()
+    assert {(x.id, x.error is None) for x in table} == {(1, True), (2, False)}
+    found = sorted((x.packet, x.track, x.timestamp, x.start, x["length"], x.cluster) for x in table if x.id == 1)
+    frames = [bytes(range(256)) * 4] * 10
+    assert [whole[s : s + n] for _, _, _, s, n, _ in found] == frames and {x[1] for x in found} == {1}
+    assert [x[2] for x in found] == [0] * 8 + [8 * 1024 * 1000 // 8000] * 2
+    cues = media.parse(whole).cues
+    assert [(t, whole[at : at + 4]) for t, _, at in cues] == [(0, b"\x1f\x43\xb6\x75")]
+
+
+def test_clusters_of_unknown_size_end_at_elements_of_the_segment():
+    cluster = b"\x1f\x43\xb6\x75\xff" + media._uint(media.CLUSTER_TIMESTAMP, 7) + media.element(media.SIMPLE_BLOCK, b"\x81\x00\x01\x00" + b"abc")
+    for after in (media.TAGS, media.CHAPTERS, media.ATTACHMENTS, media.SEEK_HEAD, media.CUES, media.INFO):
+        found = media.parse(media._HEAD + b"\x18\x53\x80\x67\xff" + cluster + media.element(after, b"") + cluster)
+        assert [(p[1], p[3], p[4]) for p in found.packets] == [(8, 3, 0), (8, 3, 1)]
+
+
+def test_top_k_refuses_vectors_whose_scores_do_not_fit(spark):
+    docs = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError):
+        topk.top_k(docs)
+
+
+def test_top_k_in_waves(spark, monkeypatch):
+    for name, value in (("PART_ROWS", 8), ("FIRST_WAVE", 2), ("WAVE", 1), ("SEED_ROWS", 10), ("QUERY_BLOCK", 4)):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(6)
+    v = r.standard_normal((150, 8)).astype(np.float32)
+    v[30:90] = v[5]  # ties over many parts
+    got = topk.top_k(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"), k=5, query_every=10).collect()
+    ints = np.floor(1024 * v.astype(np.float64)).astype(int)
+    want = set()
+    for q in range(0, 150, 10):
+        s = ints @ ints[q]
+        want |= {(q, rank, i, -x) for rank, (x, i) in enumerate(sorted((-int(s[i]), i) for i in range(150) if i != q)[:5], 1)}
+    assert {tuple(x) for x in got} == want and len(got) == 75
+
+
+def test_pieces_of_documents(spark, rows, docs):
+    """start, piece and ids_crc32 against the library; only the first piece of a cut document is short."""
+    import tokenizers
+
+    plain = tokenizers.Tokenizer.from_file(tokenise.default_path())
+    got = sorted((r.doc_id, r.piece, r.start, r["length"], r.ids_crc32) for r in pack.pack_documents(docs, capacity=128).collect())
+    want = []
+    for doc, text, *_ in rows:
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        first = len(ids) % 128 or 128
+        cuts = [0, *range(first, len(ids) + 1, 128)]
+        want += [(doc, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert got == sorted(want)
+
+
+def test_blocks_of_a_token_segment():
+    r = np.random.default_rng(1)
+    for n in (1, 255, 256, 257, 3000):
+        ids = np.where(r.random(n) < 0.05, r.integers(0, 1 << 32, n), r.integers(0, 200, n)).astype(np.uint64)
+        seg = token_files.encode_segment([1], np.array([n]), ids)
+        assert np.array_equal(token_files.decode_segment(seg)[2], ids)
+        for b in range(-(-n // 256)):
+            assert np.array_equal(token_files.read_block(seg, b), ids[b * 256 : (b + 1) * 256])
