@@ -513,3 +513,53 @@ def test_blocks_of_a_token_segment():
         assert np.array_equal(token_files.decode_segment(seg)[2], ids)
         for b in range(-(-n // 256)):
             assert np.array_equal(token_files.read_block(seg, b), ids[b * 256 : (b + 1) * 256])
+
+
+def test_matching_statistics():
+    """Against brute force; the streamed texts are not those indexed, and a
+    statistic is seldom the length of what is left of the text."""
+    r = random.Random(12)
+    differ = places = 0
+    for _ in range(60):
+        letters = r.choice([b"ab", b"abc\0", bytes(range(256))])
+        word = lambda n: bytes(r.choice(letters) for _ in range(n))
+        parts = [word(r.randint(1, 30)) for _ in range(6)]
+        make = lambda: b"".join(r.choice(parts) if r.random() < 0.8 else word(4) for _ in range(r.randint(1, 6)))
+        texts, others = [make() for _ in range(r.randint(1, 12))], [make() for _ in range(8)] + [word(5), b"\xff"]
+        index = run_length_dedup.RunLengthIndex.build(texts)
+        got = {(i, at): n for which, place, length in index.statistics(others, 20) for i, at, n in zip(which.tolist(), place.tolist(), length.tolist())}
+        for i, t in enumerate(others):
+            for at in range(len(t)):
+                n = next(n for n in range(min(20, len(t) - at), -1, -1) if any(t[at : at + n] in x for x in texts))
+                assert got[i, at] == n
+                differ += n != min(20, len(t) - at)
+                places += 1
+    assert differ > places / 3
+
+
+def test_suffix_array():
+    r = random.Random(13)
+    for _ in range(50):
+        texts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 40))) for _ in range(r.randint(1, 8))]
+        sym = np.concatenate([np.append(np.frombuffer(t, np.uint8).astype(np.int16) + 1, 0) for t in texts]).astype(np.int16)
+        left = np.concatenate([np.arange(len(t), -1, -1) for t in texts])
+        want = sorted(range(len(sym)), key=lambda i: (sym[i : i + left[i] + 1].tolist(), i))
+        assert run_length_dedup._suffix_array(sym, left).tolist() == want
+
+
+def test_chains_of_shared_windows(spark):
+    """Documents that share windows with some, not with the smallest, of their group."""
+    r = random.Random(14)
+    anchor = "the very same words stand here"
+    ends = [["".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(4)] for _ in range(2)]
+    texts = {i: f"{r.choice(ends[0])}{anchor}{r.choice(ends[1])} {i}" for i in range(60)}
+    first, want = {}, {}
+    for doc, text in sorted(texts.items()):
+        b = text.encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 49):
+            if first.setdefault(b[i : i + 50], doc) != doc:
+                gone[i : i + 50] = True
+        want[doc] = int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
+    got = run_length_dedup.run_length_digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()
+    assert {x.doc_id: (x.n_removed, x.kept_sha256) for x in got} == want

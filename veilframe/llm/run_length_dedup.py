@@ -1,18 +1,25 @@
 """Exact substring dedup with a run-length Burrows-Wheeler index.
 
 A window is 50 consecutive UTF-8 bytes. Stretches that may hold recurring
-windows meet in one shard (``passages``). Stretches of equal bytes are one
-text of the shard's index:
-
-* the index is the Burrows-Wheeler transform of all texts as runs (start,
-  byte, count before) with suffix-array samples at both ends of every run,
-  and the intervals of rows that share 50 bytes, with their smallest doc_id;
-* every text is streamed backwards through it for its matching statistics:
-  where the run of the current row has the next byte the row follows its
-  last-to-first mapping, elsewhere it jumps to the nearer run of that byte
-  with the longer common prefix, found from the sampled run ends;
-* where a statistic reaches 50 the row lies in one interval, and the window
-  is marked in every document above that interval's smallest doc_id.
+windows meet in one shard (``passages``), grouped by anchor; equal windows are
+in one group. Of every group some documents are indexed, and the stretches of
+all larger documents are streamed:
+
+* the index is the Burrows-Wheeler transform of the indexed stretches as runs,
+  with suffix-array samples at both ends of every run and, for each run, the
+  run and offset that its last-to-first mapping leads to;
+* a text is streamed backwards for its matching statistics: the length of the
+  longest prefix of what begins at each place that the index holds, as far as
+  50. Where the run of the current row has the next byte, the row follows the
+  mapping; elsewhere it jumps to the nearer run of that byte, up or down, that
+  shares more with the match so far, which the samples tell;
+* a statistic of 50 marks the window, as an indexed document is smaller.
+
+First the smallest document of each group is indexed. What is left of the
+others, windows that it does not hold, is halved by order of documents: the
+smaller half is indexed and the larger half streamed, then each half is
+treated alike. So a group of m documents takes log2(m) rounds at most, and a
+text of many copies is indexed once.
 
 Defined cases: see ``passages``; a text under 50 bytes loses nothing;
 repeats within one document stay; an empty table gives no rows.
@@ -31,202 +38,227 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_blocks
-from .passages import Stretches, Units, byte_grams, covered, distinct_docs, repeated_spans
+from .passages import Stretches, Units, covered, distinct_docs, repeated_spans
 
 WINDOW = 50
 UNITS = Units("bytes", WINDOW, 16, False)
-#: Bytes of one index; a larger shard uses several, one after another.
-INDEX_BYTES = 1 << 18
-_CHAR = 40  # composite keys: byte above, row or rank below
+#: Bytes of one index, and of what is streamed through it at once; groups of
+#: more are taken alone.
+INDEX_BYTES, STREAM_BYTES = 1 << 18, 1 << 20
+_KEY = 7  # symbols of 9 bits in the first sort
+
+
+def _suffix_array(sym: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Order of all suffixes, each as far as the end of its text (symbol 0);
+    equal ones in order of place. ``left`` is the number of symbols before it."""
+    n = len(sym)
+    key, width = sym.astype(np.uint64), 1
+    for step, taken in ((1, 1), (2, 2), (3, 4)):  # 1, 2, 4 and 7 symbols
+        tail = np.zeros(n, np.uint64)
+        tail[: n - taken] = key[taken:] >> np.uint64(9 * (width - step))
+        key = key << np.uint64(9 * step) | np.where(left >= taken, tail, np.uint64(0))
+        width += step
+    sub = np.argsort(key)
+    # a suffix is ranked by the first place of those that agree with it so far
+    group, part = key[sub], key[sub]
+    rank, h = np.zeros(n, np.int64), _KEY
+    begin = np.zeros(n, np.int64)
+    while True:
+        at = np.arange(len(sub))
+        new = np.ones(len(sub), bool)
+        new[1:] = part[1:] != part[:-1]
+        own = np.maximum.accumulate(np.where(new, at, 0))
+        head = np.ones(len(sub), bool)
+        head[1:] = group[1:] != group[:-1]
+        rank[sub] = begin + own - (np.maximum.accumulate(np.where(head, at, 0)) if h > _KEY else 0)
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        sub = sub[~alone]
+        sub = sub[left[sub] >= h]  # others are equal to their ends
+        if not len(sub):
+            return np.argsort(rank << 32 | np.arange(n))
+        part = rank[sub] << 32 | rank[sub + h]
+        order = np.argsort(part)
+        sub, part = sub[order], part[order]
+        group = begin = part >> 32
+        h *= 2
 
 
 @dataclass
 class RunLengthIndex:
-    texts: np.ndarray  # symbols (byte + 1, 0 ends a text), one text after another
+    data: np.ndarray  # bytes of all texts, a zero after each
+    words: np.ndarray  # the eight bytes from each place
+    left: np.ndarray  # bytes from each place to the end of its text
+    run_char: np.ndarray  # byte + 1 of each run, 0 where texts begin
+    run_len: np.ndarray
     run_start: np.ndarray
-    run_char: np.ndarray
     sa_first: np.ndarray  # samples at the first and last row of every run
     sa_last: np.ndarray
-    by_char: np.ndarray  # char << _CHAR | start, sorted
-    by_run: np.ndarray  # run of each entry of by_char
-    before: np.ndarray  # occurrences of its char before each entry's run
-    below: np.ndarray  # symbols smaller than each char
-    interval: np.ndarray  # first rows of intervals of equal windows
-    interval_doc: np.ndarray
+    to_run: np.ndarray  # where the first row of a run maps to
+    to_off: np.ndarray
+    by_char: np.ndarray  # char << 32 | run, sorted
 
     @staticmethod
-    def build(texts: list[bytes], docs: np.ndarray, window: int = WINDOW) -> "RunLengthIndex":
+    def build(texts: list[bytes]) -> "RunLengthIndex":
         size = np.array([len(t) for t in texts])
-        own = np.repeat(np.arange(len(texts)), size + 1)
-        start = np.cumsum(size + 1) - (size + 1)
-        sym = np.zeros(int((size + 1).sum()), np.int64)
-        at = np.arange(len(sym))
-        left = start[own] + size[own] - at  # symbols before the end
-        sym[left > 0] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-        key = np.zeros(len(sym), np.uint64)
-        pad = np.append(sym, np.zeros(8, np.int64)).astype(np.uint64)
-        for j in range(7):
-            key = key << np.uint64(9) | np.where(left > j, pad[j : j + len(sym)], np.uint64(0))
-        rank = _dense(key)
-        windows = np.full(len(sym), -1, np.int64)
-        h = 7
-        while h < max(int(size.max(initial=0)), window) + 1:
-            if h < window <= 2 * h:  # ranks of exactly ``window`` symbols
-                full = np.flatnonzero(left >= window)
-                windows[full] = _dense(rank[full].astype(np.uint64) << np.uint64(32) | rank[full + window - h].astype(np.uint64))
-            further = np.where(left > h, rank[np.minimum(at + h, len(at) - 1)] + 1, 0)
-            rank = _dense(rank.astype(np.uint64) << np.uint64(32) | further.astype(np.uint64))
-            h *= 2
-        sa = np.argsort(rank << 32 | at)  # equal suffixes by text
-        bwt = sym[sa - 1]
-        bwt[sa == 0] = 0
-        cut = np.concatenate([[0], np.flatnonzero(bwt[1:] != bwt[:-1]) + 1])
-        char, n = bwt[cut], np.diff(np.append(cut, len(bwt)))
-        order = np.argsort(char, kind="stable")
-        c, m = char[order], n[order]
-        total = np.cumsum(m) - m
-        head = np.concatenate([[True], c[1:] != c[:-1]])
-        before = total - np.maximum.accumulate(np.where(head, total, 0))
-        below = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=257))])[:257]
-        w = windows[sa]
-        edge = np.concatenate([[0], np.flatnonzero(w[1:] != w[:-1]) + 1])
-        return RunLengthIndex(sym, cut, char, sa[cut], sa[np.append(cut[1:], len(sa)) - 1], c << _CHAR | cut[order], order, before, below, edge, np.minimum.reduceat(docs[own[sa]], edge))
-
-    def step(self, row: np.ndarray, run: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Last-to-first mapping of rows whose run has byte c."""
-        at = np.searchsorted(self.by_char, c << _CHAR | self.run_start[run])
-        return self.below[c] + self.before[at] + row - self.run_start[run]
+        ends = np.cumsum(size + 1) - 1
+        data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        left = np.repeat(ends, size + 1) - np.arange(len(data))
+        sym = data.astype(np.int16) + 1
+        sym[ends] = 0
+        sa = _suffix_array(sym, left)
+        bwt = sym[sa - 1]  # before the first text is the end of the last
+        start = np.concatenate([[0], np.flatnonzero(bwt[1:] != bwt[:-1]) + 1])
+        length, char = np.diff(np.append(start, len(bwt))), bwt[start]
+        by_char = np.sort(char.astype(np.int64) << 32 | np.arange(len(char)))
+        by_run = by_char & 0xFFFFFFFF
+        row = np.empty(len(char), np.int64)  # runs in order of char follow one another
+        row[by_run] = np.cumsum(length[by_run]) - length[by_run]
+        to_run = np.searchsorted(start, row, "right") - 1
+        padded = np.concatenate([data, np.zeros(WINDOW + 16, np.uint8)])
+        words = np.zeros(len(padded) - 8, np.uint64)
+        for j in range(8):
+            words |= padded[j : j + len(words)].astype(np.uint64) << np.uint64(8 * j)
+        small = lambda x: x.astype(np.int32)
+        return RunLengthIndex(data, words, small(left), char, small(length), small(start), small(sa[start]), small(sa[start + length - 1]), small(to_run), small(row - start[to_run]), by_char)
 
     def common(self, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of the texts at p and q, up to ``most``."""
-        out, live, i = np.zeros(len(p), np.int64), np.arange(len(p)), 0
-        last = len(self.texts) - 1
+        """Bytes that the texts at p and q share, up to ``most`` (at p there
+        are as many)."""
+        out, live, i = np.zeros(len(p), np.int32), np.flatnonzero(most > 0), 0
         while len(live):
-            live = live[most[live] > i]
-            a, b = self.texts[np.minimum(p[live] + i, last)], self.texts[np.minimum(q[live] + i, last)]
-            live = live[(a == b) & (a > 0)]
-            i += 1
-            out[live] = i
-        return out
-
-    def matching(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Streams texts backwards: (text, place, match length, row) of every place."""
+            x = self.words[p[live] + i] ^ self.words[q[live] + i]
+            same = x == 0
+            out[live] = i + np.where(same, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3)
+            i += 8
+            live = live[same & (most[live] > i)]
+        return np.minimum(np.minimum(out, most), self.left[q])
+
+    def _jump(self, c, run, off, p, n) -> tuple[np.ndarray, ...]:
+        """Rows of the next byte c for rows of another one, the length that
+        is kept (-1: the index lacks c)."""
+        at = np.searchsorted(self.by_char, c.astype(np.int64) << 32 | run)
+        best, to = np.full(len(c), -1, np.int32), [np.zeros_like(run), np.zeros_like(off), np.full_like(p, self.sa_first[0])]
+        for down in (False, True):
+            entry = self.by_char[np.clip(at - (not down), 0, len(self.by_char) - 1)]
+            there = (entry >> 32 == c) & ((at < len(self.by_char)) if down else (at > 0))
+            other = (entry & 0xFFFFFFFF).astype(np.int32)
+            q = (self.sa_first if down else self.sa_last)[other]
+            length = np.where(there, self.common(p, q, np.where(there, n, 0)), -1)
+            use = length > best
+            best = np.where(use, length, best)
+            for x, y in zip(to, (other, 0 if down else self.run_len[other] - 1, q), strict=True):
+                np.copyto(x, y, where=use)
+        return (*to, best)
+
+    def statistics(self, texts: list[bytes], most: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of texts, up to ``most``: (text, place, length),
+        backwards, for one place of every text that is long enough at a time."""
         size = np.array([len(t) for t in texts])
-        width = int(size.max(initial=0))
-        line = np.zeros((len(texts), width), np.int64)  # aligned at their ends
-        line[np.arange(width)[None, :] >= width - size[:, None]] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-        row, place, length = np.zeros(len(texts), np.int64), np.full(len(texts), self.sa_first[0]), np.zeros(len(texts), np.int64)
-        for back in range(1, width + 1):
-            live = np.flatnonzero(size >= back)
-            c = line[live, width - back]
-            r, p, n = row[live], place[live], length[live]
-            run = np.searchsorted(self.run_start, r, "right") - 1
-            off = np.flatnonzero(self.run_char[run] != c)
-            if len(off):
-                co = c[off]
-                key = np.searchsorted(self.by_char, co << _CHAR | r[off])
-                up, down = key - 1, np.minimum(key, len(self.by_char) - 1)
-                has_up = (up >= 0) & (self.by_char[np.maximum(up, 0)] >> _CHAR == co)
-                has_down = (key < len(self.by_char)) & (self.by_char[down] >> _CHAR == co)
-                run_up, run_down = self.by_run[np.maximum(up, 0)], self.by_run[down]
-                l_up = np.where(has_up, self.common(p[off], self.sa_last[run_up], np.where(has_up, n[off], 0)), -1)
-                l_down = np.where(has_down, self.common(p[off], self.sa_first[run_down], np.where(has_down, n[off], 0)), -1)
-                use_up = l_up >= l_down
-                best = np.maximum(l_up, l_down)
-                found = best >= 0
-                new_run = np.where(use_up, run_up, run_down)
-                end_row = np.append(self.run_start[1:], len(self.texts))[run_up] - 1
-                r[off] = np.where(found, np.where(use_up, end_row, self.run_start[run_down]), 0)
-                p[off] = np.where(found, np.where(use_up, self.sa_last[run_up], self.sa_first[run_down]), self.sa_first[0])
-                n[off] = np.where(found, best, -1)
-                run[off] = np.where(found, new_run, 0)
-            ok = n >= 0
-            r[ok] = self.step(r[ok], run[ok], c[ok])
-            p[ok] -= 1
-            row[live], place[live], length[live] = np.where(ok, r, 0), np.where(ok, p, self.sa_first[0]), n + 1
-            yield live, size[live] - back, length[live], row[live]
-
-    def first_doc(self, row: np.ndarray) -> np.ndarray:
-        return self.interval_doc[np.searchsorted(self.interval, row, "right") - 1]
-
-
-def _dense(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    s = key[order]
-    new = np.zeros(len(key), np.int64)
-    new[1:] = s[1:] != s[:-1]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(new)
+        order = np.argsort(-size, kind="stable")  # so that those not yet ended come first
+        size = size[order]
+        width = int(size[0]) if len(size) else 0
+        line = np.zeros((len(texts), width), np.uint8)  # aligned at their ends
+        line[np.arange(width)[None, :] >= width - size[:, None]] = np.frombuffer(b"".join([texts[i] for i in order.tolist()]), np.uint8)
+        line = np.ascontiguousarray(line[:, ::-1].T)
+        lives = np.searchsorted(-size, -np.arange(width), "left")
+        run, off, n = (np.zeros(len(texts), np.int32) for _ in range(3))
+        p = np.full(len(texts), self.sa_first[0], np.int32)
+        for back in range(width):
+            m = lives[back]
+            c = line[back, :m].astype(np.int16) + 1
+            bad = np.flatnonzero(self.run_char[run[:m]] != c)
+            lost = bad[:0]
+            if len(bad):
+                run[bad], off[bad], p[bad], n[bad] = self._jump(c[bad], run[bad], off[bad], p[bad], n[bad])
+                lost = bad[n[bad] < 0]
+            r = run[:m]
+            o = off[:m] + self.to_off[r]
+            r = self.to_run[r]
+            over = np.flatnonzero(o >= self.run_len[r])
+            if len(over):  # the row lies in a later run than the first one's
+                row = self.run_start[r[over]] + o[over]
+                r[over] = np.searchsorted(self.run_start, row, "right") - 1
+                o[over] = row - self.run_start[r[over]]
+            run[:m], off[:m] = r, o
+            p[:m] -= 1
+            n[:m] = np.minimum(n[:m] + 1, most)
+            if len(lost):
+                run[lost], off[lost], p[lost], n[lost] = 0, 0, self.sa_first[0], 0
+            yield order[:m], size[:m] - 1 - back, n[:m]
+
+    def matches(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place) of all windows that the index holds."""
+        which, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for text, place, length in self.statistics(texts):
+            hit = length >= WINDOW
+            which.append(text[hit])
+            where.append(place[hit])
+        return np.concatenate(which), np.concatenate(where)
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     return out
 
 
-def _telling(texts: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Texts of which some window's hash stands twice, cut to those windows,
-    with the bytes cut from their beginnings. Other windows are unique."""
-    if not len(which):
-        return which, which, []
-    size = np.array([len(texts[i]) for i in which])
-    start = np.cumsum(size) - size
-    g = byte_grams(np.frombuffer(b"".join([texts[i] for i in which]), np.uint8), 16)
-    per = size - WINDOW + 1
-    own = np.repeat(np.arange(len(which)), per)
-    place = np.arange(len(own)) - np.repeat(np.cumsum(per) - per, per)
-    at = place + start[own]
-    h = g[at]
-    for step in (16, 32, WINDOW - 16):
-        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + g[at + step]
-    order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
-    twice = np.zeros(len(h), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
-    lo, hi = np.full(len(which), 1 << 40), np.full(len(which), -1)
-    np.minimum.at(lo, own[twice], place[twice])
-    np.maximum.at(hi, own[twice], place[twice])
-    keep = np.flatnonzero(hi >= 0)
-    return which[keep], lo[keep], [texts[which[i]][lo[i] : hi[i] + WINDOW] for i in keep]
-
-
 def _mark(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
     """Documents and starts of windows that a smaller document holds too."""
-    docs_out, starts_out = [], []
-    cut = np.flatnonzero(s.key[1:] != s.key[:-1]) + 1
-    bounds = np.concatenate([[0], cut, [len(s.key)]])
-    weight = np.concatenate([[0], np.cumsum(s.windows.astype(np.int64) + WINDOW)])[bounds]
-    # groups of one document or of one text need no index: what their
-    # documents share is the whole stretch or nothing
-    a = 0
-    while a < len(bounds) - 1:
-        b = max(a + 1, int(np.searchsorted(weight, weight[a] + 4 * INDEX_BYTES, "right")) - 1)
-        numbers: dict[bytes, int] = {}
-        text = np.array([numbers.setdefault(t, len(numbers)) for t in s.text[bounds[a] : bounds[b]]], np.int64)
-        part = slice(bounds[a], bounds[b])
-        a = b
-        doc, start, windows = s.doc[part], s.start[part], s.windows[part]
-        texts = list(numbers)
-        least = np.full(len(texts), np.iinfo(np.int64).max)
-        np.minimum.at(least, text, doc)
-        group = np.cumsum(np.concatenate([[0], s.key[part][1:] != s.key[part][:-1]]))
-        lo, hi = np.full(group[-1] + 1, len(texts)), np.full(group[-1] + 1, -1)
-        np.minimum.at(lo, group, text)
-        np.maximum.at(hi, group, text)
-        first = np.repeat(least[:, None], int(windows.max()), axis=1)
-        n_windows = np.array([len(t) - WINDOW + 1 for t in texts])
-        single = np.zeros(len(texts), bool)
-        single[text[(lo == hi)[group]]] = True
-        mixed = np.flatnonzero(~single)
-        mixed, skip, own = _telling(texts, mixed)
-        if len(mixed):
-            index = RunLengthIndex.build(own, least[mixed])
-            for live, place, length, row in index.matching(own):
-                long = length >= WINDOW
-                first[mixed[live[long]], place[long] + skip[live[long]]] = index.first_doc(row[long])
-        for x in range(0, len(text), 100_000):
-            t = text[x : x + 100_000]
-            hit = (first[t] < doc[x : x + 100_000, None]) & (np.arange(first.shape[1])[None, :] < n_windows[t, None])
-            r, w = np.nonzero(hit)
-            docs_out.append(doc[x + r])
-            starts_out.append(start[x + r] + w)
-    return np.concatenate(docs_out), np.concatenate(starts_out)
+    docs_out, starts_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    group, doc, start, text = np.cumsum(_heads(s.key)), s.doc, s.start.astype(np.int64), np.array(s.text, object)
+    first = True
+    while True:
+        # rows are in order of group, document and place
+        head = _heads(group)
+        rank = np.cumsum(_heads(group, doc))
+        group = np.cumsum(head) - 1
+        cut = np.flatnonzero(head)
+        rank -= rank[cut][group] if len(cut) else 0
+        docs = np.maximum.reduceat(rank, cut) + 1 if len(cut) else cut
+        several = docs[group] > 1
+        group, rank, doc, start, text = (x[several] for x in (group, rank, doc, start, text))
+        if not len(group):
+            return np.concatenate(docs_out), np.concatenate(starts_out)
+        lower = rank == 0 if first else rank < (docs[group] + 1) // 2
+        size = np.fromiter(map(len, text), np.int64, len(text)) + 1
+        low, high = (np.concatenate([[0], np.cumsum(np.where(x, size, 0))]) for x in (lower, ~lower))
+        cut = np.append(np.flatnonzero(_heads(group)), len(group))
+        left: list[tuple] = [] if first else [(2 * group[lower], doc[lower], start[lower], text[lower])]
+        x = 0
+        while x < len(cut) - 1:
+            a = cut[x]
+            x = max(x + 1, min(int(np.searchsorted(low[cut], low[a] + INDEX_BYTES, "right")), int(np.searchsorted(high[cut], high[a] + STREAM_BYTES, "right"))) - 1)
+            own = np.arange(a, cut[x])
+            up = own[~lower[own]]
+            streamed = text[up].tolist()
+            which, where = RunLengthIndex.build(text[own[lower[own]]].tolist()).matches(streamed)
+            docs_out.append(doc[up][which])
+            starts_out.append(start[up][which] + where)
+            # runs of windows that are left
+            per = size[up] - WINDOW
+            base = np.cumsum(per) - per
+            stays = np.ones(int(per.sum()), bool)
+            stays[base[which] + where] = False
+            tag = np.repeat(np.arange(len(up)), per)
+            new = stays & (_heads(tag) | np.concatenate([[True], ~stays[:-1]]))
+            ends = stays & np.concatenate([_heads(tag)[1:] | ~stays[1:], [True]])
+            begin, end = np.flatnonzero(new), np.flatnonzero(ends)
+            if len(begin):
+                i = tag[begin]
+                begin, end = begin - base[i], end - base[i]
+                rest = np.empty(len(i), object)
+                rest[:] = [streamed[k][u : v + WINDOW] for k, u, v in zip(i.tolist(), begin.tolist(), end.tolist(), strict=True)]
+                left.append((2 * group[up][i] + 1, doc[up][i], start[up][i] + begin, rest))
+        if not left:
+            group = group[:0]
+            doc, start, text = doc[:0], start[:0], text[:0]
+        else:
+            group, doc, start, text = (np.concatenate(c) for c in zip(*left, strict=True))
+            order = np.lexsort((start, doc, group))
+            group, doc, start, text = group[order], doc[order], start[order], text[order]
+        first = False
 
 
 def _kept(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
