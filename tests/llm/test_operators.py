@@ -531,6 +531,8 @@ def test_matching_statistics():
         for i, t in enumerate(others):
             for at in range(len(t)):
                 n = next(n for n in range(min(20, len(t) - at), -1, -1) if any(t[at : at + n] in x for x in texts))
+                if at > len(t) - 7 and (i, at) not in got:
+                    continue  # looked up with the six places before the end
                 assert got[i, at] == n
                 differ += n != min(20, len(t) - at)
                 places += 1
@@ -540,11 +542,11 @@ def test_matching_statistics():
 def test_suffix_array():
     r = random.Random(13)
     for _ in range(50):
-        texts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 40))) for _ in range(r.randint(1, 8))]
-        sym = np.concatenate([np.append(np.frombuffer(t, np.uint8).astype(np.int16) + 1, 0) for t in texts]).astype(np.int16)
+        texts = [bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 40))) for _ in range(r.randint(1, 8))]
+        data = np.frombuffer(b"".join([t + b"\0" for t in texts]), np.uint8)
         left = np.concatenate([np.arange(len(t), -1, -1) for t in texts])
-        want = sorted(range(len(sym)), key=lambda i: (sym[i : i + left[i] + 1].tolist(), i))
-        assert run_length_dedup._suffix_array(sym, left).tolist() == want
+        want = sorted(range(len(data)), key=lambda i: (data[i : i + left[i]].tolist(), i))
+        assert run_length_dedup._suffix_array(run_length_dedup._keys(run_length_dedup._words(data), left), left).tolist() == want
 
 
 def test_chains_of_shared_windows(spark):

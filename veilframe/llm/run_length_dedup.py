@@ -45,50 +45,62 @@ UNITS = Units("bytes", WINDOW, 16, False)
 #: Bytes of one index, and of what is streamed through it at once; groups of
 #: more are taken alone.
 INDEX_BYTES, STREAM_BYTES = 1 << 18, 1 << 20
-_KEY = 7  # symbols of 9 bits in the first sort
-
-
-def _suffix_array(sym: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, each as far as the end of its text (symbol 0);
-    equal ones in order of place. ``left`` is the number of symbols before it."""
-    n = len(sym)
-    key, width = sym.astype(np.uint64), 1
-    for step, taken in ((1, 1), (2, 2), (3, 4)):  # 1, 2, 4 and 7 symbols
-        tail = np.zeros(n, np.uint64)
-        tail[: n - taken] = key[taken:] >> np.uint64(9 * (width - step))
-        key = key << np.uint64(9 * step) | np.where(left >= taken, tail, np.uint64(0))
-        width += step
-    sub = np.argsort(key)
+#: Bytes of the first sort's keys.
+_KEY = 7
+_MASKS = np.array([((1 << 8 * k) - 1) << (64 - 8 * k) for k in range(_KEY + 1)], np.uint64)
+
+
+def _words(data: np.ndarray, more: int = 0) -> np.ndarray:
+    """The eight bytes from each place of data and ``more`` zeros after it."""
+    padded = np.concatenate([data, np.zeros(more + 8, np.uint8)])
+    return np.ndarray((len(data) + more,), "<u8", padded.data, strides=(1,)).copy()
+
+
+def _keys(words: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first seven bytes of suffixes, zeros from their ends on, and how
+    many those are: in order of suffixes, shorter ones first."""
+    n = np.minimum(left, _KEY)
+    return words.byteswap() & _MASKS[n] | n.astype(np.uint64)
+
+
+def _suffix_array(keys: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Order of all suffixes, each as far as the end of its text, which sorts
+    before any byte; equal ones in order of place. ``left`` is the number of
+    bytes before that end."""
+    n = len(keys)
+    sa = np.argsort(keys)
     # a suffix is ranked by the first place of those that agree with it so far
-    group, part = key[sub], key[sub]
-    rank, h = np.zeros(n, np.int64), _KEY
-    begin = np.zeros(n, np.int64)
+    slots, sub, h = np.arange(n), sa, _KEY
+    part = keys[sa]
+    rank = np.empty(n, np.int64)
     while True:
-        at = np.arange(len(sub))
         new = np.ones(len(sub), bool)
         new[1:] = part[1:] != part[:-1]
-        own = np.maximum.accumulate(np.where(new, at, 0))
-        head = np.ones(len(sub), bool)
-        head[1:] = group[1:] != group[:-1]
-        rank[sub] = begin + own - (np.maximum.accumulate(np.where(head, at, 0)) if h > _KEY else 0)
-        alone = new.copy()
-        alone[:-1] &= new[1:]
-        sub = sub[~alone]
-        sub = sub[left[sub] >= h]  # others are equal to their ends
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(sub)))
+        rank[sub] = np.repeat(slots[first], size)
+        several = np.repeat(size > 1, size)
+        slots, sub = slots[several], sub[several]
+        ended = left[sub] < h  # equal to their ends
+        if ended.any():
+            equal = sub[ended]
+            sa[slots[ended]] = equal[np.argsort(rank[equal] << 32 | equal)]
+            slots, sub = slots[~ended], sub[~ended]
         if not len(sub):
-            return np.argsort(rank << 32 | np.arange(n))
+            return sa
         part = rank[sub] << 32 | rank[sub + h]
         order = np.argsort(part)
         sub, part = sub[order], part[order]
-        group = begin = part >> 32
+        sa[slots] = sub
         h *= 2
 
 
 @dataclass
 class RunLengthIndex:
-    data: np.ndarray  # bytes of all texts, a zero after each
-    words: np.ndarray  # the eight bytes from each place
+    words: np.ndarray  # the eight bytes from each place of all texts, a zero after each
     left: np.ndarray  # bytes from each place to the end of its text
+    keys: np.ndarray  # the first bytes of all rows
+    rows: np.ndarray  # places of all rows (for texts to begin with)
     run_char: np.ndarray  # byte + 1 of each run, 0 where texts begin
     run_len: np.ndarray
     run_start: np.ndarray
@@ -104,9 +116,11 @@ class RunLengthIndex:
         ends = np.cumsum(size + 1) - 1
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         left = np.repeat(ends, size + 1) - np.arange(len(data))
+        words = _words(data, WINDOW + 8)
+        keys = _keys(words[: len(data)], left)
+        sa = _suffix_array(keys, left)
         sym = data.astype(np.int16) + 1
         sym[ends] = 0
-        sa = _suffix_array(sym, left)
         bwt = sym[sa - 1]  # before the first text is the end of the last
         start = np.concatenate([[0], np.flatnonzero(bwt[1:] != bwt[:-1]) + 1])
         length, char = np.diff(np.append(start, len(bwt))), bwt[start]
@@ -114,78 +128,98 @@ class RunLengthIndex:
         by_run = by_char & 0xFFFFFFFF
         row = np.empty(len(char), np.int64)  # runs in order of char follow one another
         row[by_run] = np.cumsum(length[by_run]) - length[by_run]
-        to_run = np.searchsorted(start, row, "right") - 1
-        padded = np.concatenate([data, np.zeros(WINDOW + 16, np.uint8)])
-        words = np.zeros(len(padded) - 8, np.uint64)
-        for j in range(8):
-            words |= padded[j : j + len(words)].astype(np.uint64) << np.uint64(8 * j)
-        small = lambda x: x.astype(np.int32)
-        return RunLengthIndex(data, words, small(left), char, small(length), small(start), small(sa[start]), small(sa[start + length - 1]), small(to_run), small(row - start[to_run]), by_char)
+        to_run = np.repeat(np.arange(len(char)), length)[row]
+        return RunLengthIndex(words, left, keys[sa], sa, char, length, start, sa[start], sa[start + length - 1], to_run, row - start[to_run], by_char)
+
+    def begin(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the index holds the last seven bytes of texts, and a row of them."""
+        tails = np.frombuffer(b"".join([t[-_KEY:].rjust(8, b"\0") for t in texts]), ">u8").astype(np.uint64)
+        key = tails << np.uint64(8) | np.uint64(_KEY)
+        row = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return (self.keys[row] == key) & (np.fromiter(map(len, texts), np.int64, len(texts)) >= _KEY), row
 
     def common(self, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Bytes that the texts at p and q share, up to ``most`` (at p there
         are as many)."""
-        out, live, i = np.zeros(len(p), np.int32), np.flatnonzero(most > 0), 0
-        while len(live):
-            x = self.words[p[live] + i] ^ self.words[q[live] + i]
-            same = x == 0
-            out[live] = i + np.where(same, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3)
-            i += 8
-            live = live[same & (most[live] > i)]
+        agree = lambda x: np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3  # noqa: E731 - equal bytes of eight
+        out = agree(self.words[p] ^ self.words[q]).astype(np.int32)
+        far = np.flatnonzero((out == 8) & (most > 8))
+        if len(far):
+            step = np.arange(8, most[far].max(), 8)
+            more = agree(self.words[p[far, None] + step] ^ self.words[q[far, None] + step])
+            first = np.argmin(more == 8, axis=1)  # 0 too if all agree
+            last = more[np.arange(len(far)), first]
+            out[far] += np.where(last == 8, 8 * len(step), 8 * first + last).astype(np.int32)
         return np.minimum(np.minimum(out, most), self.left[q])
 
-    def _jump(self, c, run, off, p, n) -> tuple[np.ndarray, ...]:
-        """Rows of the next byte c for rows of another one, the length that
-        is kept (-1: the index lacks c)."""
-        at = np.searchsorted(self.by_char, c.astype(np.int64) << 32 | run)
-        best, to = np.full(len(c), -1, np.int32), [np.zeros_like(run), np.zeros_like(off), np.full_like(p, self.sa_first[0])]
-        for down in (False, True):
-            entry = self.by_char[np.clip(at - (not down), 0, len(self.by_char) - 1)]
-            there = (entry >> 32 == c) & ((at < len(self.by_char)) if down else (at > 0))
-            other = (entry & 0xFFFFFFFF).astype(np.int32)
-            q = (self.sa_first if down else self.sa_last)[other]
-            length = np.where(there, self.common(p, q, np.where(there, n, 0)), -1)
-            use = length > best
-            best = np.where(use, length, best)
-            for x, y in zip(to, (other, 0 if down else self.run_len[other] - 1, q), strict=True):
-                np.copyto(x, y, where=use)
-        return (*to, best)
+    def _jump(self, c: np.ndarray, run: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rows of the next byte c for rows of another one (run, offset,
+        place), and the length that is kept (-1: the index lacks c)."""
+        m, c = len(c), c.astype(np.int64)
+        at = np.searchsorted(self.by_char, c << 32 | run)
+        entry = self.by_char[np.minimum(np.concatenate([np.maximum(at - 1, 0), at]), len(self.by_char) - 1)]
+        there = entry >> 32 == np.concatenate([c, c])
+        there[:m] &= at > 0
+        there[m:] &= at < len(self.by_char)
+        other = entry & 0xFFFFFFFF
+        q = np.concatenate([self.sa_last[other[:m]], self.sa_first[other[m:]]])
+        length = self.common(np.concatenate([p, p]), q, np.concatenate([n, n]))
+        length[~there] = -1
+        down = length[m:] > length[:m]
+        pick = np.where(down, other[m:], other[:m])
+        return pick, np.where(down, 0, self.run_len[pick] - 1), np.where(down, q[m:], q[:m]), np.maximum(length[:m], length[m:])
+
+    def _step(self, c: np.ndarray, run: np.ndarray, off: np.ndarray, p: np.ndarray, n: np.ndarray, most: int) -> None:
+        """One byte c before each text's place, in place."""
+        bad, lost = np.flatnonzero(self.run_char[run] != c), ()
+        if len(bad):
+            run[bad], off[bad], p[bad], n[bad] = self._jump(c[bad], run[bad], p[bad], n[bad])
+            lost = bad[n[bad] < 0]
+        off += self.to_off[run]
+        run[:] = self.to_run[run]
+        over = np.flatnonzero(off >= self.run_len[run])
+        if len(over):  # the row lies in a later run than the first one's
+            at = self.run_start[run[over]] + off[over]
+            run[over] = later = np.searchsorted(self.run_start, at, "right") - 1
+            off[over] = at - self.run_start[later]
+        p -= 1
+        n += 1
+        np.minimum(n, most, out=n)
+        if len(lost):
+            run[lost], off[lost], p[lost], n[lost] = 0, 0, self.sa_first[0], 0
 
     def statistics(self, texts: list[bytes], most: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Matching statistics of texts, up to ``most``: (text, place, length),
-        backwards, for one place of every text that is long enough at a time."""
-        size = np.array([len(t) for t in texts])
-        order = np.argsort(-size, kind="stable")  # so that those not yet ended come first
-        size = size[order]
+        backwards, for one place of every text that is long enough at a time.
+        A text whose last seven bytes the index holds begins with those."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        which = np.argsort(-size, kind="stable")  # those not yet ended come first
+        size, texts = size[which], [texts[i] for i in which.tolist()]
         width = int(size[0]) if len(size) else 0
         line = np.zeros((len(texts), width), np.uint8)  # aligned at their ends
-        line[np.arange(width)[None, :] >= width - size[:, None]] = np.frombuffer(b"".join([texts[i] for i in order.tolist()]), np.uint8)
+        line[np.arange(width)[None, :] >= width - size[:, None]] = np.frombuffer(b"".join(texts), np.uint8)
         line = np.ascontiguousarray(line[:, ::-1].T)
+        run, off, n = (np.zeros(len(texts), np.int64) for _ in range(3))
+        p = np.full(len(texts), self.sa_first[0])
+        known, row = self.begin(texts)
+        row = row[known]
+        run[known] = first = np.searchsorted(self.run_start, row, "right") - 1
+        off[known] = row - self.run_start[first]
+        p[known], n[known] = self.rows[row], min(_KEY, most)
+        slow = np.flatnonzero(~known)
+        for back in range(min(_KEY, width)):
+            slow = slow[size[slow] > back]
+            if len(slow):
+                own = [x[slow] for x in (run, off, p, n)]
+                self._step(line[back, slow].astype(np.int16) + 1, *own, most)
+                run[slow], off[slow], p[slow], n[slow] = own
+                yield which[slow], size[slow] - 1 - back, own[3]
+        yield which[known], size[known] - _KEY, n[known]
         lives = np.searchsorted(-size, -np.arange(width), "left")
-        run, off, n = (np.zeros(len(texts), np.int32) for _ in range(3))
-        p = np.full(len(texts), self.sa_first[0], np.int32)
-        for back in range(width):
+        for back in range(_KEY, width):
             m = lives[back]
-            c = line[back, :m].astype(np.int16) + 1
-            bad = np.flatnonzero(self.run_char[run[:m]] != c)
-            lost = bad[:0]
-            if len(bad):
-                run[bad], off[bad], p[bad], n[bad] = self._jump(c[bad], run[bad], off[bad], p[bad], n[bad])
-                lost = bad[n[bad] < 0]
-            r = run[:m]
-            o = off[:m] + self.to_off[r]
-            r = self.to_run[r]
-            over = np.flatnonzero(o >= self.run_len[r])
-            if len(over):  # the row lies in a later run than the first one's
-                row = self.run_start[r[over]] + o[over]
-                r[over] = np.searchsorted(self.run_start, row, "right") - 1
-                o[over] = row - self.run_start[r[over]]
-            run[:m], off[:m] = r, o
-            p[:m] -= 1
-            n[:m] = np.minimum(n[:m] + 1, most)
-            if len(lost):
-                run[lost], off[lost], p[lost], n[lost] = 0, 0, self.sa_first[0], 0
-            yield order[:m], size[:m] - 1 - back, n[:m]
+            self._step(line[back, :m].astype(np.int16) + 1, run[:m], off[:m], p[:m], n[:m], most)
+            yield which[:m], size[:m] - 1 - back, n[:m]
 
     def matches(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(text, place) of all windows that the index holds."""
