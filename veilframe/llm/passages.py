@@ -9,10 +9,12 @@ are anchors.
     docs + marks --(3)--> stretches by shard --(4)--> spans by document
     docs + spans --(5)--> result
 
-(1) every task packs its anchors, one binary row a shard; an anchor that a
-task holds more than ``LOCAL_HOT`` times is marked there and then as flagged,
+(1) every task packs its anchors, one binary row a shard, with short hashes of
+what stands before and after each (a window that two places share holds half
+of its other units on one side of the anchor at least); an anchor that a task
+holds more than ``LOCAL_HOT`` times is marked there and then as flagged,
 and one note of it goes to its shard; (2) a shard reports the anchors that
-recur, and flags those that a note names or that occur more than ``HOT``
+recur with one of their sides, and flags those that a note names or that occur more than ``HOT``
 times; (3) for a recurring anchor the units of all its windows go to the
 anchor's shard; for a flagged one, every window goes to the shard of its own
 hash and a task sends each distinct window once, so no shard meets a group
@@ -64,6 +66,13 @@ class Units:
             return gram_hash(block.word_hash(), self.gram), block.w_bounds
         return byte_grams(block.data, self.gram), block.bounds
 
+    def bounds(self, block: TextBlock) -> np.ndarray:
+        """Unit bounds of texts alone."""
+        if self.kind == "bytes":
+            return block.bounds
+        block.words()
+        return block.w_bounds
+
 
 def byte_grams(data: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-byte strings, k a multiple of 8."""
@@ -139,7 +148,7 @@ def _by_shard(shard: np.ndarray, kind: int, columns: list[np.ndarray], blobs: li
     """One compressed row a shard: the columns one after the other, then blobs."""
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=1 if blobs is None else 3).compress
     order = np.argsort(shard, kind="stable")
     shard = shard[order]
     columns = [c[order] for c in columns]
@@ -173,26 +182,49 @@ def _unpack(n: int, packed: bytes, types: list[str]) -> tuple[list[np.ndarray],
     return out, data, at
 
 
-def _short(h: np.ndarray) -> list[np.ndarray]:
-    """40 bits of hashes; with the shard's own bits, chance agreement of two
-    anchors stays rare, and all it costs is a stretch that step 4 clears."""
-    return [(h >> U(24)).astype(np.uint32), (h >> U(56)).astype(np.uint8)]
+#: 32 bits of an anchor's hash, its sides, document, place and reach. With the
+#: shard's own bits, chance agreement stays rare, and all it costs is a stretch
+#: that step 4 clears.
+_ANCHOR = ["<u4", "u1", "u1", "<i8", "<i4", "u1", "u1"]
+_MARK = ["<i8", "<i4", "u1", "u1"]
+
+
+def _sides(units: Units, grams: np.ndarray, bounds: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Eight bits of the units before and after each anchor, half as many as a
+    window has besides it; 0 where the text has fewer."""
+    half = (units.length - units.gram + 1) // 2
+    assert units.gram <= half <= units.gram + 1  # two grams cover a side
+    out = []
+    for first, there in ((at - half, at - half >= bounds[doc]), (at + units.gram, at + units.gram + half <= bounds[doc + 1])):
+        first = np.where(there, first, 0)
+        h = mix64(grams[first] * U(3) + grams[np.minimum(first + half - units.gram, len(grams) - 1)])
+        out.append(np.where(there, h % U(255) + U(1), U(0)).astype(np.uint8))
+    return out
 
 
-def _anchor_rows(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, most: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: anchors (hash, doc, place) by their shard; a place of -1 is the
-    note of an anchor that recurs more than ``most`` times here. Kind 1: the
-    flagged marks of its occurrences by the documents' shards."""
+def _anchor_rows(h: np.ndarray, *more: np.ndarray, most: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Kind 0: anchors (hash, sides, doc, place, reach) by their shard; a place
+    of -1 is the note of an anchor that recurs more than ``most`` times here.
+    Kind 1: the flagged marks of its occurrences by the documents' shards. The
+    reach of an anchor tells its windows, see ``_reach``."""
     order = np.argsort(h)
     cut = np.concatenate([[0], np.flatnonzero(np.diff(h[order])) + 1])
     count = np.diff(np.append(cut, len(h)))
     often = np.zeros(len(h), bool)  # in order of documents, which packs better
     often[order[np.repeat(count > most, count)]] = True
     if often.any():
-        yield from _by_shard(_doc_shard(doc[often], shards), 1, [doc[often], -1 - pos[often]])
+        _, _, doc, pos, *reach = (x[often] for x in more)
+        yield from _by_shard(_doc_shard(doc, shards), 1, [doc, -1 - pos, *reach])
         note = order[cut[count > most]]
-        h, doc, pos = (np.concatenate([x[~often], y]) for x, y in ((h, h[note]), (doc, doc[note]), (pos, np.full(len(note), -1, np.int32))))
-    yield from _by_shard(((h >> U(20)) % U(shards)).astype(np.int32), 0, _short(h) + [doc, pos])
+        h = np.concatenate([h[~often], h[note]])
+        more = [np.concatenate([x[~often], x[note] if i != 3 else np.full(len(note), -1, x.dtype)]) for i, x in enumerate(more)]
+    yield from _by_shard(((h >> U(20)) % U(shards)).astype(np.int32), 0, [(h >> U(32)).astype(np.uint32), *more])
+
+
+def _reach(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Units from an anchor's first window to the anchor, and the number of
+    its windows (both under 64, as a window has under 64 units)."""
+    return [(at - lo).astype(np.uint8), (hi - lo + 1).astype(np.uint8)]
 
 
 def _anchor_task(units: Units, shards: int, most: int):
@@ -203,15 +235,15 @@ def _anchor_task(units: Units, shards: int, most: int):
             ids = batch.column(0).to_numpy()
             for block in text_blocks(batch.column(1)):
                 grams, bounds = units.prepare(block)
-                doc, at, _, _, h = anchors(units, grams, bounds)
+                doc, at, lo, hi, h = anchors(units, grams, bounds)
                 if len(doc):
-                    held.append((h, ids[block.first + doc], (at - bounds[doc]).astype(np.int32)))
+                    held.append((h, *_sides(units, grams, bounds, doc, at), ids[block.first + doc], (at - bounds[doc]).astype(np.int32), *_reach(at, lo, hi)))
                     count += len(doc)
                 if count >= _FLUSH_ROWS:
-                    yield from _anchor_rows(*(np.concatenate(x) for x in zip(*held, strict=True)), most, shards)
+                    yield from _anchor_rows(*(np.concatenate(x) for x in zip(*held, strict=True)), most=most, shards=shards)
                     held, count = [], 0
         if held:
-            yield from _anchor_rows(*(np.concatenate(x) for x in zip(*held, strict=True)), most, shards)
+            yield from _anchor_rows(*(np.concatenate(x) for x in zip(*held, strict=True)), most=most, shards=shards)
 
     return rows
 
@@ -238,24 +270,40 @@ def _mark_task(within: bool, hot: int, shards: int):
                 yield batch.filter(pa.array(known))
                 batch = batch.filter(pa.array(~known))
             for shard, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "data")), strict=True):
-                (low, high, doc, pos), _, _ = _unpack(n, data, ["<u4", "u1", "<i8", "<i4"])
-                held.append((U(shard) << U(40) | high.astype(np.uint64) << U(32) | low, doc, pos))
+                (h, *more), _, _ = _unpack(n, data, _ANCHOR)
+                held.append((U(shard) << U(32) | h, *more))
         if not held:
             return
-        h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, before, after, doc, pos, *reach = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
         order = np.argsort(h)
-        h, doc, pos = h[order], doc[order], pos[order]
-        cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(h[order])) + 1])
         count = np.diff(np.append(cut, len(h)))
-        recurs = count > 1 if within else np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut)
-        noted = np.minimum.reduceat(pos, cut) < 0
-        flag, keep = np.repeat(noted | (count > hot), count), np.repeat(noted | recurs, count) & (pos >= 0)
+        order = order[np.repeat(count > 1, count)]  # also a note is more than one
+        count = count[count > 1]
+        if not len(order):
+            return
+        group = np.repeat(np.arange(len(count)), count)
+        before, after, doc, pos, *reach = (x[order] for x in (before, after, doc, pos, *reach))
+        noted = np.minimum.reduceat(pos, np.cumsum(count) - count) < 0
+        flag = np.repeat(noted | (count > hot), count)
+        recurs = np.repeat(noted, count)
+        for side in (before, after):
+            own = np.flatnonzero(side)
+            if not len(own):
+                continue
+            key = group[own] << 8 | side[own]
+            own = own[np.argsort(key)]
+            key = np.sort(key)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+            n = np.diff(np.append(cut, len(key)))
+            again = n > 1 if within else np.minimum.reduceat(doc[own], cut) != np.maximum.reduceat(doc[own], cut)
+            recurs[own] |= np.repeat(again, n)
+        keep = np.flatnonzero(recurs & (pos >= 0))
+        keep = keep[np.lexsort((pos[keep], doc[keep]))]
         # places are not negative: a flagged one is stored as -1 - place
-        place = np.where(flag, -1 - pos, pos)
-        doc, place = doc[keep], place[keep].astype("<i4")
-        order = np.lexsort((pos[keep], doc))
-        yield from _by_shard(_doc_shard(doc[order], shards), 0, [doc[order], place[order]])
+        place = np.where(flag, -1 - pos, pos)[keep].astype("<i4")
+        yield from _by_shard(_doc_shard(doc[keep], shards), 0, [doc[keep], place, *(x[keep] for x in reach)])
 
     return rows
 
@@ -269,13 +317,13 @@ def _gather_task(name: str, runs: bool):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[list[np.ndarray]]] = {}
-        types = ["<i8", "<i4", "<i4"] if runs else ["<i8", "<i4"]
+        types = ["<i8", "<i4", "<i4"] if runs else _MARK
         for batch in batches:
             for shard, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "data")), strict=True):
                 held.setdefault(shard, []).append(_unpack(n, data, types)[0])
         for shard in list(held):
             doc, first, *more = (np.concatenate(x) for x in zip(*held.pop(shard), strict=True))
-            yield from _per_doc(doc, first.astype(np.uint64) << U(32) | more[0].astype(np.uint64) if runs else first, name)
+            yield from _per_doc(doc, first.astype(np.uint64) << U(32) | more[0].astype(np.uint64) if runs else first.astype(np.int64) << 16 | more[0].astype(np.int64) << 8 | more[1], name)
 
     return rows
 
@@ -342,22 +390,23 @@ def _stretch_task(units: Units, shards: int):
             batch = batch.filter(keep)
             ids, marks = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             for block in text_blocks(batch.column(1)):
-                grams, bounds = units.prepare(block)
-                doc, at, lo, hi, h = anchors(units, grams, bounds)
-                own = [np.frombuffer(marks[block.first + i], "<i4").astype(np.int64) for i in range(len(block))]
-                tag = np.repeat(np.arange(len(own)), [len(x) for x in own])
-                flat = np.concatenate(own) if own else np.zeros(0, np.int64)
-                place = np.where(flat < 0, -1 - flat, flat) + bounds[tag]
-                marked = np.zeros(len(grams) + 1, np.int8)
-                marked[np.minimum(place, len(grams))] = 1
-                marked[np.minimum(place[flat < 0], len(grams))] = 2
-                state = marked[at]
+                bounds = units.bounds(block)
+                own = [marks[block.first + i] for i in range(len(block))]
+                doc = np.repeat(np.arange(len(own)), [len(x) // 8 for x in own])
+                flat = np.frombuffer(b"".join(own), "<i8")
+                place, reach, flagged = flat >> 16, flat & 0xFFFF, flat < 0
+                at = np.where(flagged, -1 - place, place) + bounds[doc]
+                order = np.argsort(at)
+                doc, at, reach, flagged = doc[order], at[order], reach[order], flagged[order]
+                lo = at - (reach >> 8)
+                hi = lo + (reach & 255) - 1
                 text, u0, u1 = window_bytes(units, block)
                 for hot in (False, True):
-                    sel = np.flatnonzero(state == 1 + hot)
+                    sel = np.flatnonzero(flagged == hot)
                     if not len(sel):
                         continue
-                    d, a, b, key = doc[sel], lo[sel], hi[sel], h[sel]
+                    d, a, b = doc[sel], lo[sel], hi[sel]
+                    key = None if hot else _window_hash(text, u0[at[sel]], u1[at[sel] + units.gram - 1])
                     if hot:  # every window alone, by its own hash
                         n = b - a + 1
                         d = np.repeat(d, n)

@@ -19,7 +19,8 @@ First the smallest document of each group is indexed. What is left of the
 others, windows that it does not hold, is halved by order of documents: the
 smaller half is indexed and the larger half streamed, then each half is
 treated alike. So a group of m documents takes log2(m) rounds at most, and a
-text of many copies is indexed once.
+text of many copies is indexed once; copies among the streamed texts pass
+through the index once.
 
 Defined cases: see ``passages``; a text under 50 bytes loses nothing;
 repeats within one document stay; an empty table gives no rows.
@@ -231,6 +232,19 @@ class RunLengthIndex:
         return np.concatenate(which), np.concatenate(where)
 
 
+def _streamed(index: RunLengthIndex, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Matches of all texts; those that are equal pass through the index once."""
+    numbers: dict[bytes, int] = {}
+    number = np.array([numbers.setdefault(t, len(numbers)) for t in texts], np.int64)
+    which, where = index.matches(list(numbers))
+    order = np.argsort(which, kind="stable")
+    which, where = which[order], where[order]
+    first = np.searchsorted(which, np.arange(len(numbers) + 1))
+    n = np.diff(first)[number]
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[number], n)
+    return np.repeat(np.arange(len(texts)), n), where[at]
+
+
 def _heads(*columns: np.ndarray) -> np.ndarray:
     """Where a row differs from the one before it."""
     out = np.ones(len(columns[0]), bool)
@@ -267,7 +281,7 @@ def _mark(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
             own = np.arange(a, cut[x])
             up = own[~lower[own]]
             streamed = text[up].tolist()
-            which, where = RunLengthIndex.build(text[own[lower[own]]].tolist()).matches(streamed)
+            which, where = _streamed(RunLengthIndex.build(text[own[lower[own]]].tolist()), streamed)
             docs_out.append(doc[up][which])
             starts_out.append(start[up][which] + where)
             # runs of windows that are left
