@@ -143,6 +143,8 @@ def test_near_duplicates(docs, none, rows):
 def test_phrases(docs, none, rows, monkeypatch, hot, local):
     monkeypatch.setattr("veilframe.llm.passages.HOT", hot)
     monkeypatch.setattr("veilframe.llm.passages.LOCAL_HOT", local)
+    if hot == 2:
+        monkeypatch.setattr(phrase_dedup, "AUTOMATON_WINDOWS", 50)
     first, want = {}, set()
     for doc, text in distinct(rows):
         w, gone = WORD.findall(text), set()
@@ -565,3 +567,23 @@ def test_chains_of_shared_windows(spark):
         want[doc] = int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
     got = run_length_dedup.run_length_digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()
     assert {x.doc_id: (x.n_removed, x.kept_sha256) for x in got} == want
+
+
+def test_automata_locate_what_the_passages_do_not_place():
+    """A document without passages of its own loses what its block's automaton
+    finds there, and places in passages are those of the first copy only."""
+    from veilframe.llm.passages import Stretches
+
+    r = random.Random(15)
+    words = [f"w{i}" for i in range(60)]
+    line = [r.choice(words) for _ in range(40)]
+    other = [r.choice(words) for _ in range(25)]
+    s = Stretches(np.array([1, 1, 2], np.uint64), np.array([3, 8, 9]), np.array([5, 0, 0], np.int32), np.array([21, 21, 6], np.int32), [" ".join(x).encode() for x in (line, line, other)])
+    got = phrase_dedup.confirm(s)
+    assert got.doc.tolist() == [3, 8] and got.first_doc.tolist() == [3, 3] and got.first_start.tolist() == [5, 5] and got.windows.tolist() == [21, 21] and got.text == [" ".join(line).encode()] * 2
+    head = b"".join(x.astype(k).tobytes() for x, k in zip((got.first_doc[:1], got.first_start[:1], got.windows[:1], np.array([len(got.text[0])])), ("<i8", "<i4", "<i4", "<i4")))
+    texts = [" ".join([*other, *line]), "\n".join(line[:30]) + " x", " ".join(line[10:]) + "\t" + " ".join(line), " ".join(line[:19])]
+    block = phrase_dedup._block([t.encode() for t in texts])
+    which, where = phrase_dedup.locate(block, np.array([3, 4, 8, 9]), [None, None, (1).to_bytes(4, "little") + head + got.text[0], None])
+    want = {(0, 25 + i) for i in range(21)} | {(1, i) for i in range(11)} | {(2, i) for i in range(11)} | {(2, 30 + i) for i in range(21)}
+    assert set(zip(which.tolist(), where.tolist())) == want

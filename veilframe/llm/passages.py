@@ -20,7 +20,7 @@ anchor's shard; for a flagged one, every window goes to the shard of its own
 hash and a task sends each distinct window once, so no shard meets a group
 that grows with the rows that share a passage, only with the number of tasks;
 (4) the operator's own method decides exactly, on content; (5) spans are
-applied. Documents are exchanged once by id, and steps 1, 3 and 5 read that
+applied, or passages located (``repeated_passages``). Documents are exchanged once by id, and steps 1, 3 and 5 read that
 one exchange.
 
 Rows that share a doc_id are one document, its smallest text; every row with a
@@ -182,7 +182,7 @@ def _unpack(n: int, packed: bytes, types: list[str]) -> tuple[list[np.ndarray],
     return out, data, at
 
 
-#: 32 bits of an anchor's hash, its sides, document, place and reach. With the
+#: 24 bits of an anchor's hash, its sides, document, place and reach. With the
 #: shard's own bits, chance agreement stays rare, and all it costs is a stretch
 #: that step 4 clears.
 _ANCHOR = ["<u4", "u1", "u1", "<i8", "<i4", "u1", "u1"]
@@ -218,7 +218,7 @@ def _anchor_rows(h: np.ndarray, *more: np.ndarray, most: int, shards: int) -> It
         note = order[cut[count > most]]
         h = np.concatenate([h[~often], h[note]])
         more = [np.concatenate([x[~often], x[note] if i != 3 else np.full(len(note), -1, x.dtype)]) for i, x in enumerate(more)]
-    yield from _by_shard(((h >> U(20)) % U(shards)).astype(np.int32), 0, [(h >> U(32)).astype(np.uint32), *more])
+    yield from _by_shard(((h >> U(20)) % U(shards)).astype(np.int32), 0, [((h >> U(32)) & U(0xFFFFFF)).astype(np.uint32), *more])
 
 
 def _reach(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
@@ -470,15 +470,7 @@ def _decide_task(decide: Callable[[Stretches], tuple[np.ndarray, np.ndarray]], s
                 else:
                     held.setdefault(shard, []).append((n, data))
         for shard in list(held):
-            arrays, text = [], []
-            for n, data in held.pop(shard):
-                cols, data, at = _unpack(n, data, ["<u8", "<i8", "<i4", "<i4", "<i4"])
-                ends = at + np.cumsum(cols[4], dtype=np.int64)
-                text += [data[x:y] for x, y in zip((ends - cols[4]).tolist(), ends.tolist(), strict=True)]
-                arrays.append(cols[:4])
-            key, doc, start, windows = (np.concatenate(x) for x in zip(*arrays, strict=True))
-            order = np.lexsort((start, doc, key))
-            found = decide(Stretches(key[order], doc[order], start[order], windows[order], [text[i] for i in order.tolist()]))
+            found = decide(_unpacked(held.pop(shard)))
             yield from _span_rows(*found, shards)
 
     return rows
@@ -505,9 +497,109 @@ def _numbered(nulls: DataFrame, least: int) -> DataFrame:
     return rows.withColumn("__id", F.col("__first") + F.col("__place").bitwiseAND((1 << 33) - 1))
 
 
-def repeated_spans(docs: DataFrame, units: Units, decide, apply, schema: str, id_col: str, text_col: str, keep_columns: bool = False) -> DataFrame:
-    """Runs the five steps; ``apply`` maps batches (doc_id, text, rest, spans)
-    to rows of ``schema``, where spans are the window starts to remove."""
+def _unpacked(held: list[tuple[int, bytes]]) -> Stretches:
+    """The stretches of some packed rows."""
+    arrays, text = [], []
+    for n, data in held:
+        cols, data, at = _unpack(n, data, ["<u8", "<i8", "<i4", "<i4", "<i4"])
+        ends = at + np.cumsum(cols[4], dtype=np.int64)
+        text += [data[x:y] for x, y in zip((ends - cols[4]).tolist(), ends.tolist(), strict=True)]
+        arrays.append(cols[:4])
+    key, doc, start, windows = (np.concatenate(x) for x in zip(*arrays, strict=True))
+    order = np.lexsort((start, doc, key))
+    return Stretches(key[order], doc[order], start[order], windows[order], [text[i] for i in order.tolist()])
+
+
+@dataclass
+class Passages:
+    """Runs of windows that recur, each as it stands in one document, with the
+    place where its first window starts first of all."""
+
+    doc: np.ndarray
+    first_doc: np.ndarray
+    first_start: np.ndarray
+    windows: np.ndarray
+    text: list[bytes]
+
+
+_PASSAGE = ["<i8", "<i8", "<i4", "<i4", "<i4"]
+
+
+def _confirm_task(confirm: Callable[[Stretches], Passages], shards: int):
+    """Kind 0: passages by their documents' shards. Kind 1: spans, as from
+    ``_decide_task``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for shard, kind, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "n", "data")), strict=True):
+                if kind == 1:
+                    (doc, start), _, _ = _unpack(n, data, ["<i8", "<i4"])
+                    for b in _span_rows(doc, start.astype(np.int64), shards):
+                        yield b.set_column(1, "kind", pa.array([1] * b.num_rows, pa.int32()))
+                else:
+                    held.setdefault(shard, []).append((n, data))
+        for shard in list(held):
+            p = confirm(_unpacked(held.pop(shard)))
+            if len(p.doc):
+                size = np.fromiter(map(len, p.text), np.int64, len(p.text))
+                yield from _by_shard(_doc_shard(p.doc, shards), 0, [p.doc, p.first_doc, p.first_start.astype("<i4"), p.windows.astype("<i4"), size.astype("<i4")], p.text)
+
+    return rows
+
+
+_FOUND = "m_id long, spans binary, passages binary"
+
+
+def _collect_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document with its spans and its packed passages."""
+    held: dict[int, tuple[list, list]] = {}
+    for batch in batches:
+        for shard, kind, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "n", "data")), strict=True):
+            held.setdefault(shard, ([], []))[kind].append((n, data))
+    for shard in list(held):
+        passages, spans = held.pop(shard)
+        by_doc: dict[int, list[bytes]] = {}
+        for n, data in spans:
+            (doc, first, more), _, _ = _unpack(n, data, ["<i8", "<i4", "<i4"])
+            for b in _per_doc(doc, first.astype(np.uint64) << U(32) | more.astype(np.uint64), "spans"):
+                for d, x in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True):
+                    by_doc.setdefault(d, [b"", b""])[0] += x
+        for n, data in passages:
+            cols, data, at = _unpack(n, data, _PASSAGE)
+            order = np.argsort(cols[0], kind="stable")
+            begin = at + np.cumsum(cols[4], dtype=np.int64) - cols[4]
+            doc = cols[0][order]
+            cut = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
+            for a, b in zip(cut, cut[1:]):
+                own = order[a:b]
+                head = b"".join(c[own].tobytes() for c in cols[1:])
+                blob = b"".join([data[x : x + y] for x, y in zip(begin[own].tolist(), cols[4][own].tolist(), strict=True)])
+                by_doc.setdefault(int(doc[a]), [b"", b""])[1] += len(own).to_bytes(4, "little") + head + blob
+        ids = list(by_doc)
+        for i in range(0, len(ids), 1000):
+            part = ids[i : i + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *[pa.array([by_doc[d][k] or None for d in part], pa.binary()) for k in (0, 1)]], ["m_id", "spans", "passages"])
+
+
+def read_passages(packed: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """first_doc, first_start, windows and texts of a document's passages."""
+    at = 0
+    while at < len(packed):
+        n = int.from_bytes(packed[at : at + 4], "little")
+        at += 4
+        cols = []
+        for t in _PASSAGE[1:]:
+            cols.append(np.frombuffer(packed, t, n, at))
+            at += cols[-1].nbytes
+        ends = (at + np.cumsum(cols[3], dtype=np.int64)).tolist()
+        yield cols[0], cols[1].astype(np.int64), cols[2].astype(np.int64), [packed[x:y] for x, y in zip([at, *ends], ends)]
+        at = ends[-1]
+
+
+def _stretched(docs: DataFrame, units: Units, id_col: str, text_col: str, keep_columns: bool) -> tuple[DataFrame, DataFrame, int, int | None]:
+    """Steps 1 to 3: rows by id, packed stretches by shard, the number of
+    shards, and the least id that is not a number given to a null."""
     n = partitions(docs.sparkSession)
     shards = max(n, min(4 * n, 256))  # few partitions take several shards each, for balance
     d = F.col(f"`{id_col}`").cast("long").alias("__id")
@@ -522,10 +614,29 @@ def repeated_spans(docs: DataFrame, units: Units, decide, apply, schema: str, id
     anchor = slim.mapInArrow(_anchor_task(units, shards, LOCAL_HOT), _PACK).repartition("shard")
     marks = anchor.mapInArrow(_mark_task(units.within, HOT, shards), _PACK).repartition("shard").mapInArrow(_gather_task("marks", False), "m_id long, marks binary")
     stretch = slim.join(marks, F.col("__id") == F.col("m_id"), "left").sortWithinPartitions("__id", "__text").select("__id", "__text", "marks")
-    stretch = stretch.mapInArrow(_stretch_task(units, shards), _PACK).repartition("shard")
-    spans = stretch.mapInArrow(_decide_task(decide, shards), _PACK).repartition("shard").mapInArrow(_gather_task("spans", True), "m_id long, spans binary")
-    out = rows.join(spans, F.col("__id") == F.col("m_id"), "left").sortWithinPartitions("__id", "__text")
-    out = out.select("__id", "__text", *["__rest"] * keep_columns, "spans").mapInArrow(apply, schema)
+    return rows, stretch.mapInArrow(_stretch_task(units, shards), _PACK).repartition("shard"), shards, least
+
+
+def _applied(rows: DataFrame, found: DataFrame, columns: list[str], apply, schema, least: int | None, keep_columns: bool) -> DataFrame:
+    out = rows.join(found, F.col("__id") == F.col("m_id"), "left").sortWithinPartitions("__id", "__text")
+    out = out.select("__id", "__text", *["__rest"] * keep_columns, *columns).mapInArrow(apply, schema)
     if least is not None and not keep_columns:
         out = out.withColumn("doc_id", F.when(F.col("doc_id") >= least, F.col("doc_id")))
     return out
+
+
+def repeated_passages(docs: DataFrame, units: Units, confirm, apply, schema, id_col: str, text_col: str, keep_columns: bool = False) -> DataFrame:
+    """Every document goes through ``apply``, in batches (doc_id, text, rest,
+    spans, passages): spans are windows to remove that step 3 knows, passages
+    what ``confirm`` found to recur in the document."""
+    rows, stretch, shards, least = _stretched(docs, units, id_col, text_col, keep_columns)
+    found = stretch.mapInArrow(_confirm_task(confirm, shards), _PACK).repartition("shard").mapInArrow(_collect_task, _FOUND)
+    return _applied(rows, found, ["spans", "passages"], apply, schema, least, keep_columns)
+
+
+def repeated_spans(docs: DataFrame, units: Units, decide, apply, schema, id_col: str, text_col: str, keep_columns: bool = False) -> DataFrame:
+    """Runs the five steps; ``apply`` maps batches (doc_id, text, rest, spans)
+    to rows of ``schema``, where spans are the window starts to remove."""
+    rows, stretch, shards, least = _stretched(docs, units, id_col, text_col, keep_columns)
+    spans = stretch.mapInArrow(_decide_task(decide, shards), _PACK).repartition("shard").mapInArrow(_gather_task("spans", True), "m_id long, spans binary")
+    return _applied(rows, spans, ["spans"], apply, schema, least, keep_columns)

@@ -1,11 +1,21 @@
 """Substring dedup by repeated-phrase automata.
 
-A window is 20 consecutive words. Stretches of text that may hold recurring
-windows are brought together by shard (``passages``). A shard confirms, word
-for word, which windows occur more than once, compiles them into one
-Aho-Corasick automaton over word numbers, and streams its stretches through
-it to locate every occurrence; the first one, in order of doc_id and place,
-stays, and every word that another one covers is removed.
+A window is 20 consecutive words.
+
+1. Stretches of text that may hold recurring windows are brought together by
+   shard (``passages``). A shard confirms, byte for byte, which windows occur
+   more than once, and where each starts first; runs of them are passages.
+2. A passage goes, as text and without a place, to every document that holds
+   it. Documents are taken in blocks of about a megabyte; the passages of a
+   block are compiled into Aho-Corasick automata of ``AUTOMATON_WINDOWS``
+   windows over word numbers, and all documents of the block, whether they
+   have passages or not, are streamed through to locate every occurrence.
+3. The first occurrence, in order of doc_id and place, stays; every word that
+   another one covers is removed.
+
+So the automata are sharded by documents, each document is streamed as often
+as its block has automata (one, but for blocks full of repeats), and an
+automaton holds what can occur in its documents.
 
 Defined cases: see ``passages``; a text under 20 words loses nothing; the
 digest joins kept words by one space; an empty table gives no rows.
@@ -22,96 +32,188 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TextBlock, text_blocks
-from .passages import Stretches, Units, covered, distinct_docs, repeated_spans
+from .common import TextBlock, gram_hash, text_blocks
+from .passages import Passages, Stretches, Units, covered, distinct_docs, read_passages, repeated_passages, window_bytes
 
 WINDOW = 20
 UNITS = Units("words", WINDOW, 6, True)
-#: Windows of one automaton; a larger shard uses several, one after another.
+#: Windows of one automaton.
 AUTOMATON_WINDOWS = 40_000
+#: Automata that a block of documents is streamed through at most; a single
+#: text of very many repeats has larger ones instead.
+MOST_AUTOMATA = 16
+
+
+def _block(texts: list[bytes]) -> TextBlock:
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    block = TextBlock(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(size)]), 0)
+    block.words()
+    return block
+
+
+def confirm(s: Stretches) -> Passages:
+    """Passages of windows that recur among the stretches."""
+    block = _block(s.text)
+    n_words = np.diff(block.w_bounds)
+    assert (n_words == s.windows + WINDOW - 1).all()
+    h = gram_hash(block.word_hash(), WINDOW)
+    which = np.repeat(np.arange(len(s.text)), s.windows)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(s.windows) - s.windows, s.windows)
+    word = block.w_bounds[which] + offset
+    doc, start = s.doc[which], s.start[which].astype(np.int64) + offset
+    h = h[word]
+    order = np.lexsort((start, doc, h))
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(h[order]) != 0
+    first = np.empty(len(order), np.int64)
+    first[order] = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(order))))
+    first = _equal(s, block, which, word, first)
+    many = np.bincount(first, minlength=len(first))[first] > 1
+    # runs of windows whose first places run along with them
+    go_on = np.zeros(len(first), bool)
+    go_on[1:] = many[1:] & many[:-1] & (which[1:] == which[:-1]) & (first[1:] == first[:-1] + 1) & (which[first[1:]] == which[first[:-1]])
+    begin = np.flatnonzero(many & ~go_on)
+    count = np.diff(np.append(np.cumsum(many)[begin] - 1, many.sum()))
+    a, b = block.w_start[word[begin]], block.w_end[word[begin] + count + WINDOW - 2]
+    raw = block.data.tobytes()
+    return Passages(doc[begin], doc[first[begin]], start[first[begin]], count, [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+
+
+def _equal(s: Stretches, block: TextBlock, which: np.ndarray, word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``first`` after a comparison of texts: hashes alone may agree by chance."""
+    raw, own = block.data.tobytes(), np.arange(len(first))
+    go_on = np.zeros(len(first), bool)
+    go_on[1:] = (which[1:] == which[:-1]) & (first[1:] == first[:-1] + 1) & (which[first[1:]] == which[first[:-1]])
+    begin = np.flatnonzero(~go_on)
+    last = np.append(begin[1:], len(first)) - 1
+    pairs = zip(*(x.tolist() for x in (block.w_start[word[begin]], block.w_end[word[last] + WINDOW - 1], block.w_start[word[first[begin]]], block.w_end[word[first[last]] + WINDOW - 1])), strict=True)
+    if all(raw[a:b] == raw[c:d] for a, b, c, d in pairs):
+        return first
+    texts: dict[bytes, int] = {}
+    order = np.lexsort((s.start[which].astype(np.int64) + word - block.w_bounds[which], s.doc[which]))
+    out = own.copy()
+    for i in order.tolist():
+        out[i] = texts.setdefault(raw[block.w_start[word[i]] : block.w_end[word[i] + WINDOW - 1]], i)
+    return out
 
 
-def _locate(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and starts of all windows that also start earlier."""
+def _letters(numbers: np.ndarray) -> str:
+    """Word numbers (from 0) as characters, without surrogates."""
+    code = numbers.astype(np.uint32) + 1
+    code[code >= 0xD800] += 0x800
+    return code.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def locate(block: TextBlock, ids: np.ndarray, packed: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place of all windows of a block (with words) that also start
+    earlier, by automata of its documents' passages."""
     import ahocorasick
 
-    out_doc: list[int] = []
-    out_start: list[int] = []
-    cut = np.flatnonzero(s.key[1:] != s.key[:-1]) + 1
-    bounds = [0, *cut.tolist(), len(s.key)]
+    found: dict[bytes, tuple[int, int, int]] = {}
+    for p in packed:
+        for first_doc, first_start, windows, texts in read_passages(p or b""):
+            for t, *place in zip(texts, first_doc.tolist(), first_start.tolist(), windows.tolist(), strict=True):
+                found.setdefault(t, tuple(place))
+    which, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if not found:
+        return which[0], where[0]
+    place = np.array(list(found.values()), np.int64)
+    texts = list(found)
+    hashes = block.word_hash()
+    normal, u0, u1 = window_bytes(UNITS, block)
+    owner = np.repeat(np.arange(len(block)), np.diff(block.w_bounds))
+    # a word that no phrase has stands between documents
+    between = block.w_bounds[1:]
+    limit = max(AUTOMATON_WINDOWS, int(place[:, 2].sum()) // MOST_AUTOMATA)
     i = 0
-    while i < len(bounds) - 1:
-        j, n = i, 0
-        while j < len(bounds) - 1 and (n == 0 or n < AUTOMATON_WINDOWS):
-            n += int(s.windows[bounds[j] : bounds[j + 1]].sum())
-            j += 1
-        a, b = bounds[i], bounds[j]
-        i = j
-        if b - a < 2 and s.windows[a] < 2:
-            continue
-        numbers: dict[bytes, int] = {}
-        # stretches of one text once, with all places where it stands
-        places: dict[bytes, list[int]] = {}
-        for x in range(a, b):
-            places.setdefault(s.text[x], []).append(x)
-        lines = {t: tuple([numbers.setdefault(w, len(numbers)) for w in t.split(b" ")]) for t in places}
-        counts: dict[tuple[int, ...], int] = {}
-        for t, xs in places.items():
-            line = lines[t]
-            for p in range(len(line) - WINDOW + 1):
-                w = line[p : p + WINDOW]
-                counts[w] = counts.get(w, 0) + len(xs)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        known = 0
-        for w, c in counts.items():
-            if c > 1:
-                automaton.add_word(w, known)
-                known += 1
-        del counts
-        if not known:
-            continue
+    while i < len(texts):
+        total = np.cumsum(place[i:, 2])
+        j = i + max(1, int(np.searchsorted(total, limit, "right")))
+        own = _block(texts[i:j])
+        words, numbers = np.unique(own.word_hash(), return_inverse=True)
+        if len(words) > 1_000_000:
+            raise ValueError("an automaton has too many words")
+        phrases = _letters(numbers + 1)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        windows = place[i:j, 2]
+        passage = np.repeat(np.arange(j - i), windows)
+        offset = np.arange(len(passage)) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = own.w_bounds[passage] + offset
+        for w, x in enumerate(at.tolist()):
+            automaton.add_word(phrases[x : x + WINDOW], w)
         automaton.make_automaton()
-        first: list[tuple[int, int] | None] = [None] * known
-        doc, start = s.doc[a:b].tolist(), s.start[a:b].tolist()
-        hits: list[tuple[list[int], list[tuple[int, int]]]] = []
-        for t, xs in places.items():
-            found = [(end - WINDOW + 1, w) for end, w in automaton.iter(lines[t])]
-            if not found:
-                continue
-            xs = [x - a for x in xs]
-            hits.append((xs, found))
-            d, at = min((doc[x], start[x]) for x in xs)
-            for p, w in found:
-                here = (d, at + p)
-                if first[w] is None or here < first[w]:
-                    first[w] = here
-        for xs, found in hits:
-            for x in xs:
-                d, at = doc[x], start[x]
-                late = [at + p for p, w in found if first[w] != (d, at + p)]
-                out_start += late
-                out_doc += [d] * len(late)
-    return np.array(out_doc, np.int64), np.array(out_start, np.int64)
+        near = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+        line = np.insert(np.where(words[near] == hashes, near + 1, 0), between, 0)
+        hits = np.array(list(automaton.iter(_letters(line))), np.int64).reshape(-1, 2)
+        if len(hits):
+            end, w = hits[:, 0], hits[:, 1]
+            place_of = np.delete(np.arange(len(line)), between + np.arange(len(between)))  # of each word
+            start = np.searchsorted(place_of, end - WINDOW + 1)
+            text = owner[start]
+            same = _same(normal, u0, u1, start, texts[i:j], own, passage[w], at[w])
+            start, text, w = start[same], text[same], w[same]
+            q, k = passage[w] + i, offset[w]
+            local = start - block.w_bounds[text]
+            late = (ids[text] != place[q, 0]) | (local != place[q, 1] + k)
+            which.append(text[late])
+            where.append(local[late])
+        i = j
+    return np.concatenate(which), np.concatenate(where)
+
+
+def _same(normal: bytes, u0, u1, start: np.ndarray, texts: list[bytes], own: TextBlock, passage: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which hits agree with their passage byte for byte, by runs of hits."""
+    head = np.ones(len(start), bool)
+    head[1:] = (np.diff(start) != 1) | (np.diff(at) != 1) | (np.diff(passage) != 0)
+    a = np.flatnonzero(head)
+    b = np.append(a[1:], len(start)) - 1
+    shift = own.bounds[passage[a]]
+    rows = zip(*(x.tolist() for x in (u0[start[a]], u1[start[b] + WINDOW - 1], passage[a], own.w_start[at[a]] - shift, own.w_end[at[b] + WINDOW - 1] - shift)), strict=True)
+    fine = np.array([normal[x:y] == texts[p][u:v] for x, y, p, u, v in rows], bool)
+    out = np.repeat(fine, b - a + 1)
+    for k in np.flatnonzero(~fine).tolist():  # one by one
+        for m in range(a[k], b[k] + 1):
+            s = own.bounds[passage[m]]
+            out[m] = normal[u0[start[m]] : u1[start[m] + WINDOW - 1]] == texts[passage[m]][own.w_start[at[m]] - s : own.w_end[at[m] + WINDOW - 1] - s]
+    return out
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[TextBlock, dict[int, np.ndarray]]]:
+    """Blocks of texts with the words that go, for texts that lose some."""
+    ids, spans, packed = batch.column(0).to_numpy(), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+    for block in text_blocks(batch.column(1)):
+        block.words()
+        here = slice(block.first, block.first + len(block))
+        text, start = locate(block, ids[here], packed.slice(block.first, len(block)).to_pylist())
+        gone: dict[int, np.ndarray] = {}
+        for i, runs in enumerate(spans.slice(block.first, len(block)).to_pylist()):
+            if runs:
+                gone[i] = covered(int(block.w_bounds[i + 1] - block.w_bounds[i]), runs, WINDOW)
+        if len(text):
+            step = np.zeros(len(block.w_start) + WINDOW + 1, np.int32)
+            at = block.w_bounds[text] + start
+            np.add.at(step, at, 1)
+            np.add.at(step, at + WINDOW, -1)
+            hit = np.cumsum(step)[: len(block.w_start)] > 0
+            for i in np.unique(text).tolist():
+                own = hit[block.w_bounds[i] : block.w_bounds[i + 1]]
+                gone[i] = own | gone[i] if i in gone else own
+        yield block, gone
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, bytes]]]]:
     for batch in distinct_docs(batches):
-        spans = batch.column(batch.num_columns - 1)
         out: list[tuple[int, int, bytes]] = []
-        for block in text_blocks(batch.column(1)):
-            block.words()
+        for block, gone in _blocks(batch):
             for i in range(len(block)):
                 a, b = block.w_bounds[i], block.w_bounds[i + 1]
                 words = block.text(i).split()
                 if len(words) != b - a:  # another ASCII separator than split()'s: none today
                     words = [block.data[x:y].tobytes() for x, y in zip(block.w_start[a:b], block.w_end[a:b], strict=True)]
-                parts = spans[block.first + i].as_py()
-                gone = 0
-                if parts:
-                    hit = covered(len(words), parts, WINDOW)
-                    gone = int(hit.sum())
+                hit = gone.get(i)
+                if hit is not None:
                     words = [w for w, h in zip(words, hit.tolist(), strict=True) if not h]
-                out.append((int(b - a), gone, b" ".join(words)))
+                out.append((int(b - a), 0 if hit is None else int(hit.sum()), b" ".join(words)))
         yield batch, out
 
 
@@ -122,22 +224,18 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in distinct_docs(batches):
-        texts, spans = batch.column(1), batch.column(batch.num_columns - 1)
-        clean = texts.to_pylist()
-        if spans.null_count < len(spans):
-            for block in text_blocks(texts):
-                block.words()
-                for i in range(len(block)):
-                    if parts := spans[block.first + i].as_py():
-                        clean[block.first + i] = _without(block, i, parts).decode("utf-8", "replace")
+        clean = batch.column(1).to_pylist()
+        for block, gone in _blocks(batch):
+            for i, hit in gone.items():
+                clean[block.first + i] = _without(block, i, hit).decode("utf-8", "replace")
         yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(clean, pa.string())], ["__rest", "__clean"])
 
 
-def _without(block: TextBlock, i: int, parts: bytes) -> bytes:
+def _without(block: TextBlock, i: int, hit: np.ndarray) -> bytes:
     """Text i without the bytes from the first to the last word of each run of
     covered words; all other bytes stay."""
-    a, b = block.w_bounds[i], block.w_bounds[i + 1]
-    step = np.diff(covered(int(b - a), parts, WINDOW).astype(np.int8), prepend=0, append=0)
+    a = block.w_bounds[i]
+    step = np.diff(hit.astype(np.int8), prepend=0, append=0)
     begin, end = block.w_start[a + np.flatnonzero(step == 1)], block.w_end[a + np.flatnonzero(step == -1) - 1]
     keep = zip([block.bounds[i], *end], [*begin, block.bounds[i + 1]], strict=True)
     return b"".join(block.data[x:y].tobytes() for x, y in keep)
@@ -145,7 +243,7 @@ def _without(block: TextBlock, i: int, parts: bytes) -> bytes:
 
 def phrase_digest(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    return repeated_spans(docs, UNITS, _locate, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", id_col, text_col)
+    return repeated_passages(docs, UNITS, confirm, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", id_col, text_col)
 
 
 def without_repeated_phrases(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -153,7 +251,7 @@ def without_repeated_phrases(docs: DataFrame, id_col="doc_id", text_col="text")
     from the first to the last word of each; all else is left as it was."""
     rest = T.StructType([f for f in docs.schema.fields if f.name != text_col])
     schema = T.StructType([T.StructField("__rest", rest), T.StructField("__clean", T.StringType())])
-    out = repeated_spans(docs, UNITS, _locate, _texts, schema, id_col, text_col, keep_columns=True)
+    out = repeated_passages(docs, UNITS, confirm, _texts, schema, id_col, text_col, keep_columns=True)
     return out.select(*[F.col("__clean").alias(c) if c == text_col else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns])
 
 
