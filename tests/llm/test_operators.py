@@ -144,7 +144,7 @@ def test_phrases(docs, none, rows, monkeypatch, hot, local):
     monkeypatch.setattr("veilframe.llm.passages.HOT", hot)
     monkeypatch.setattr("veilframe.llm.passages.LOCAL_HOT", local)
     if hot == 2:
-        monkeypatch.setattr(phrase_dedup, "AUTOMATON_WINDOWS", 50)
+        monkeypatch.setattr(phrase_dedup, "AUTOMATON_WORDS", 50)
     first, want = {}, set()
     for doc, text in distinct(rows):
         w, gone = WORD.findall(text), set()
@@ -584,6 +584,12 @@ def test_automata_locate_what_the_passages_do_not_place():
     head = b"".join(x.astype(k).tobytes() for x, k in zip((got.first_doc[:1], got.first_start[:1], got.windows[:1], np.array([len(got.text[0])])), ("<i8", "<i4", "<i4", "<i4")))
     texts = [" ".join([*other, *line]), "\n".join(line[:30]) + " x", " ".join(line[10:]) + "\t" + " ".join(line), " ".join(line[:19])]
     block = phrase_dedup._block([t.encode() for t in texts])
-    which, where = phrase_dedup.locate(block, np.array([3, 4, 8, 9]), [None, None, (1).to_bytes(4, "little") + head + got.text[0], None])
-    want = {(0, 25 + i) for i in range(21)} | {(1, i) for i in range(11)} | {(2, i) for i in range(11)} | {(2, 30 + i) for i in range(21)}
-    assert set(zip(which.tolist(), where.tolist())) == want
+    got = phrase_dedup.locate(block, np.array([3, 4, 8, 9]), [None, None, (1).to_bytes(4, "little") + head + got.text[0], None])
+    assert set(zip(*(x.tolist() for x in got))) == {(0, 25, 40), (2, 30, 40)}
+    texts[0] = " ".join([*other[:5], *line])  # where the passage starts first
+    got = phrase_dedup.locate(phrase_dedup._block([t.encode() for t in texts]), np.array([3, 4, 8, 9]), [None, None, (1).to_bytes(4, "little") + head + got_text(line), None])
+    assert set(zip(*(x.tolist() for x in got))) == {(2, 30, 40)}
+
+
+def got_text(line):
+    return " ".join(line).encode()

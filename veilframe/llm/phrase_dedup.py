@@ -7,12 +7,15 @@ A window is 20 consecutive words.
    more than once, and where each starts first; runs of them are passages.
 2. A passage goes, as text and without a place, to every document that holds
    it. Documents are taken in blocks of about a megabyte; the passages of a
-   block are compiled into Aho-Corasick automata of ``AUTOMATON_WINDOWS``
-   windows over word numbers, and all documents of the block, whether they
-   have passages or not, are streamed through to locate every occurrence.
+   block are compiled into Aho-Corasick automata of ``AUTOMATON_WORDS`` words,
+   and all documents of the block, whether they have passages or not, are
+   streamed through to locate every occurrence.
 3. The first occurrence, in order of doc_id and place, stays; every word that
    another one covers is removed.
 
+A word is a number in an automaton, written as three characters, as the
+children of a trie's node are searched one by one.
+
 So the automata are sharded by documents, each document is streamed as often
 as its block has automata (one, but for blocks full of repeats), and an
 automaton holds what can occur in its documents.
@@ -37,8 +40,8 @@ from .passages import Passages, Stretches, Units, covered, distinct_docs, read_p
 
 WINDOW = 20
 UNITS = Units("words", WINDOW, 6, True)
-#: Windows of one automaton.
-AUTOMATON_WINDOWS = 40_000
+#: Words of one automaton's passages.
+AUTOMATON_WORDS = 200_000
 #: Automata that a block of documents is streamed through at most; a single
 #: text of very many repeats has larger ones instead.
 MOST_AUTOMATA = 16
@@ -97,85 +100,63 @@ def _equal(s: Stretches, block: TextBlock, which: np.ndarray, word: np.ndarray,
     return out
 
 
+_BASE = 128
+
+
 def _letters(numbers: np.ndarray) -> str:
-    """Word numbers (from 0) as characters, without surrogates."""
-    code = numbers.astype(np.uint32) + 1
-    code[code >= 0xD800] += 0x800
-    return code.astype("<u4").tobytes().decode("utf-32-le")
+    """Word numbers as three characters each, of one range for each digit, so
+    that words match as wholes."""
+    digits = np.stack([numbers // (_BASE * _BASE) + 0x100, numbers // _BASE % _BASE + 0x10000, numbers % _BASE + 0x20000], 1)
+    return digits.astype("<u4").tobytes().decode("utf-32-le")
 
 
-def locate(block: TextBlock, ids: np.ndarray, packed: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Text and place of all windows of a block (with words) that also start
-    earlier, by automata of its documents' passages."""
+def locate(block: TextBlock, ids: np.ndarray, packed: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place and words of all passages in a block of documents that
+    start earlier elsewhere, found by automata of the documents' passages."""
     import ahocorasick
 
-    found: dict[bytes, tuple[int, int, int]] = {}
+    known: dict[bytes, tuple[int, int]] = {}
     for p in packed:
-        for first_doc, first_start, windows, texts in read_passages(p or b""):
-            for t, *place in zip(texts, first_doc.tolist(), first_start.tolist(), windows.tolist(), strict=True):
-                found.setdefault(t, tuple(place))
-    which, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if not found:
-        return which[0], where[0]
-    place = np.array(list(found.values()), np.int64)
-    texts = list(found)
-    hashes = block.word_hash()
-    normal, u0, u1 = window_bytes(UNITS, block)
-    owner = np.repeat(np.arange(len(block)), np.diff(block.w_bounds))
-    # a word that no phrase has stands between documents
-    between = block.w_bounds[1:]
-    limit = max(AUTOMATON_WINDOWS, int(place[:, 2].sum()) // MOST_AUTOMATA)
-    i = 0
+        for first_doc, first_start, _, texts in read_passages(p or b""):
+            for t, *place in zip(texts, first_doc.tolist(), first_start.tolist(), strict=True):
+                known.setdefault(t, tuple(place))
+    out = [np.zeros((0, 3), np.int64)]
+    texts, place = list(known), np.array(list(known.values()), np.int64).reshape(-1, 2)
+    size = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
+    limit, i = max(AUTOMATON_WORDS, int(size.sum()) // MOST_AUTOMATA), 0
+    if texts:
+        hashes = block.word_hash()
+        normal, u0, u1 = window_bytes(UNITS, block)
+        # one word that no passage has stands after each document
+        between = block.w_bounds[1:]
+        word = np.insert(np.arange(len(hashes)), between, -1)
+        owner = np.repeat(np.arange(len(block)), np.diff(block.w_bounds))
     while i < len(texts):
-        total = np.cumsum(place[i:, 2])
-        j = i + max(1, int(np.searchsorted(total, limit, "right")))
+        j = i + max(1, int(np.searchsorted(np.cumsum(size[i:]), limit, "right")))
         own = _block(texts[i:j])
         words, numbers = np.unique(own.word_hash(), return_inverse=True)
-        if len(words) > 1_000_000:
+        if len(words) >= 0xD700 * _BASE * _BASE:
             raise ValueError("an automaton has too many words")
         phrases = _letters(numbers + 1)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        windows = place[i:j, 2]
-        passage = np.repeat(np.arange(j - i), windows)
-        offset = np.arange(len(passage)) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = own.w_bounds[passage] + offset
-        for w, x in enumerate(at.tolist()):
-            automaton.add_word(phrases[x : x + WINDOW], w)
+        bounds = (3 * own.w_bounds).tolist()
+        for k in range(j - i):
+            automaton.add_word(phrases[bounds[k] : bounds[k + 1]], k)
         automaton.make_automaton()
         near = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
         line = np.insert(np.where(words[near] == hashes, near + 1, 0), between, 0)
         hits = np.array(list(automaton.iter(_letters(line))), np.int64).reshape(-1, 2)
-        if len(hits):
-            end, w = hits[:, 0], hits[:, 1]
-            place_of = np.delete(np.arange(len(line)), between + np.arange(len(between)))  # of each word
-            start = np.searchsorted(place_of, end - WINDOW + 1)
-            text = owner[start]
-            same = _same(normal, u0, u1, start, texts[i:j], own, passage[w], at[w])
-            start, text, w = start[same], text[same], w[same]
-            q, k = passage[w] + i, offset[w]
-            local = start - block.w_bounds[text]
-            late = (ids[text] != place[q, 0]) | (local != place[q, 1] + k)
-            which.append(text[late])
-            where.append(local[late])
+        n = size[hits[:, 1] + i]
+        start = word[(hits[:, 0] + 1) // 3 - n]
+        a, b = u0[start].tolist(), u1[start + n - 1].tolist()  # hashes alone may agree by chance
+        same = np.array([normal[x:y] == texts[i + k] for x, y, k in zip(a, b, hits[:, 1].tolist(), strict=True)], bool)
+        text = owner[start]
+        local = start - block.w_bounds[text]
+        q = hits[:, 1] + i
+        late = same & ((ids[text] != place[q, 0]) | (local != place[q, 1]))
+        out.append(np.stack([text, local, n], 1)[late])
         i = j
-    return np.concatenate(which), np.concatenate(where)
-
-
-def _same(normal: bytes, u0, u1, start: np.ndarray, texts: list[bytes], own: TextBlock, passage: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which hits agree with their passage byte for byte, by runs of hits."""
-    head = np.ones(len(start), bool)
-    head[1:] = (np.diff(start) != 1) | (np.diff(at) != 1) | (np.diff(passage) != 0)
-    a = np.flatnonzero(head)
-    b = np.append(a[1:], len(start)) - 1
-    shift = own.bounds[passage[a]]
-    rows = zip(*(x.tolist() for x in (u0[start[a]], u1[start[b] + WINDOW - 1], passage[a], own.w_start[at[a]] - shift, own.w_end[at[b] + WINDOW - 1] - shift)), strict=True)
-    fine = np.array([normal[x:y] == texts[p][u:v] for x, y, p, u, v in rows], bool)
-    out = np.repeat(fine, b - a + 1)
-    for k in np.flatnonzero(~fine).tolist():  # one by one
-        for m in range(a[k], b[k] + 1):
-            s = own.bounds[passage[m]]
-            out[m] = normal[u0[start[m]] : u1[start[m] + WINDOW - 1]] == texts[passage[m]][own.w_start[at[m]] - s : own.w_end[at[m] + WINDOW - 1] - s]
-    return out
+    return tuple(np.concatenate(out).T)
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[TextBlock, dict[int, np.ndarray]]]:
@@ -184,17 +165,17 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[TextBlock, dict[int, np.nda
     for block in text_blocks(batch.column(1)):
         block.words()
         here = slice(block.first, block.first + len(block))
-        text, start = locate(block, ids[here], packed.slice(block.first, len(block)).to_pylist())
+        text, start, n = locate(block, ids[here], packed.slice(block.first, len(block)).to_pylist())
         gone: dict[int, np.ndarray] = {}
         for i, runs in enumerate(spans.slice(block.first, len(block)).to_pylist()):
             if runs:
                 gone[i] = covered(int(block.w_bounds[i + 1] - block.w_bounds[i]), runs, WINDOW)
         if len(text):
-            step = np.zeros(len(block.w_start) + WINDOW + 1, np.int32)
+            step = np.zeros(len(block.w_start) + 1, np.int32)
             at = block.w_bounds[text] + start
             np.add.at(step, at, 1)
-            np.add.at(step, at + WINDOW, -1)
-            hit = np.cumsum(step)[: len(block.w_start)] > 0
+            np.add.at(step, at + n, -1)
+            hit = np.cumsum(step)[:-1] > 0
             for i in np.unique(text).tolist():
                 own = hit[block.w_bounds[i] : block.w_bounds[i + 1]]
                 gone[i] = own | gone[i] if i in gone else own
