@@ -593,3 +593,44 @@ def test_automata_locate_what_the_passages_do_not_place():
 
 def got_text(line):
     return " ".join(line).encode()
+
+
+def _near_by_brute_force(texts):
+    sets = {}
+    for doc, text in texts.items():
+        w = (text or "").lower().split()
+        sets[doc] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {d: d for d in sets}
+    for _ in range(6):
+        for a in sets:
+            for b in sets:
+                if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    return {(d, len(s), root[d], root[d] == d) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize(("block", "stars"), [(1000, 0), (3, 0), (2, 1), (40, 0)])
+def test_keys_of_several_components(spark, monkeypatch, block, stars):
+    """A template whose texts share bands, some of them near copies: large keys
+    with many components, with and without stars before the last step."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(near_dedup, "STARS", stars)
+    r = random.Random(16)
+    words = [f"t{i}" for i in range(90)]
+    texts = {}
+    for i in range(70):
+        own = list(words)
+        at = r.randrange(60)
+        own[at : at + (12 if i % 2 else 4)] = [f"x{r.randint(0, 3) if i % 5 else i}y{k}" for k in range(12 if i % 2 else 4)]
+        texts[i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {tuple(x) for x in near_dedup.near_duplicates(docs).collect()} == _near_by_brute_force(texts)
+
+
+def test_rows_of_one_id_are_its_smallest_text(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base, 0), (1, "a smaller text", 1), (2, base, 2), (3, base, 3), (3, None, 4), (4, base + " more", 5), (None, base, 6), (None, base, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, twice int").repartition(2)
+    got = sorted(tuple(x) for x in near_dedup.near_duplicates(docs.where("doc_id IS NOT NULL")).collect())
+    assert got == [(1, 1, 1, True), (2, 36, 2, True), (3, 0, 3, True), (4, 37, 2, False)]
+    assert sorted(x.twice for x in near_dedup.without_near_duplicates(docs).collect()) == [1, 2, 4, 6, 7]

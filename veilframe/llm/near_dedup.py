@@ -10,9 +10,13 @@
    a collision-corrected Jaccard estimate, and what may reach the threshold is
    confirmed on the full sets. Links are joined to components, and a second
    round compares each class with the smallest one of another component.
-4. Keys that still hold several components
-   are compared across components, in blocks of ``BLOCK_ROWS`` that large keys
-   spread over tasks; only confirmed links that join components leave a task.
+4. In keys that still hold several components, classes outside of the key's
+   largest component (strays) are compared with all classes of others. The
+   largest one is dealt to blocks of ``BLOCK_ROWS`` and the strays go to each,
+   so a key's rows at most double; only confirmed links that join components
+   leave a task. A key of more strays than a block is taken apart first: by
+   the rarest quarter of each class's shingles, of which two sets of
+   similarity 0.75 always share one (prefix filtering), in place of the key.
 
 At similarity 0.75 one band of four agrees with probability 0.32, so a pair
 shares none of 32 bands with probability 5e-6. Estimates under ``FLOOR``
@@ -20,8 +24,8 @@ shares none of 32 bands with probability 5e-6. Estimates under ``FLOOR``
 
 Defined cases: a text without words (or null) has an empty set and is linked
 with nothing; a null doc_id is linked with nothing and kept; rows that share
-a doc_id count as one document; extra columns are ignored; an empty table
-gives no rows.
+a doc_id are one document, its smallest text (null first), and one row of the
+result; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import U, TextBlock, doc_columns, gram_hash, materialise, mix64, text_blocks
@@ -122,9 +127,9 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole runs of (key, bi, bj) from rows sorted by them."""
+    """Tables of whole runs of (key, block) from rows sorted by them."""
     held: list[pa.RecordBatch] = []
-    columns = lambda t: np.stack([t.column(c).to_numpy() for c in ("key", "bi", "bj")], 1)
+    columns = lambda t: np.stack([t.column(c).to_numpy() for c in ("key", "block")], 1)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -142,14 +147,20 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _runs(t: pa.Table) -> Iterator[tuple[int, int, bool, np.ndarray, np.ndarray]]:
-    """(from, to, one block, comp, mine) of each run with several components."""
-    group = np.stack([t.column(c).to_numpy() for c in ("key", "bi", "bj")], 1)
-    comp, mine = t.column("comp").to_numpy(), t.column("mine").to_numpy()
-    cut = (np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1).tolist()
+def _runs(t: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, comp, stray, home) of each run with several components;
+    two strays are compared where the first of them is at home."""
+    key, block, comp, mine = (t.column(c).to_numpy() for c in ("key", "block", "comp", "mine"))
+    stray = t.column("stray").to_numpy(zero_copy_only=False)
+    cut = (np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1).tolist()
     for a, b in zip([0, *cut], [*cut, len(comp)]):
         if (comp[a:b] != comp[a]).any():
-            yield a, b, bool(group[a, 1] == group[a, 2]), comp, mine
+            yield a, b, comp[a:b], stray[a:b], mine[a:b] == block[a]
+
+
+def _compared(i, j, comp: np.ndarray, stray: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """Whether rows i and j (i a stray, before j if both are) are a pair here."""
+    return (comp[i] != comp[j]) & (~stray[j] | home[i])
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,16 +168,54 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _whole_runs(batches):
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         keep = np.zeros(t.num_rows, bool)
-        for a, b, within, comp, mine in _runs(t):
-            for i in range(a, b - 1):
-                other = np.arange(i + 1, b)
-                other = other[(comp[other] != comp[i]) & (within | (mine[other] != mine[i]))]
-                other = other[estimate(regs[other], regs[i]) >= FLOOR]
-                keep[other] = True
-                keep[i] |= len(other) > 0
+        for a, b, comp, stray, home in _runs(t):
+            row = np.arange(b - a)
+            for i in np.flatnonzero(stray).tolist():
+                other = row[_compared(i, row, comp, stray, home) & (~stray | (row > i))]
+                other = other[estimate(regs[a + other], regs[a + i]) >= FLOOR]
+                keep[a + other] = True
+                keep[a + i] |= len(other) > 0
         yield from t.drop_columns(["regs"]).filter(pa.array(keep)).to_batches()
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a shingle of (v, comp, s)."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            sets = part.column("s").to_pylist()
+            n = np.array([len(x) // 8 for x in sets])
+            cols = [np.repeat(x, n) for x in (part.column("v").to_numpy(), part.column("comp").to_numpy(), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sets), np.int64)), *map(pa.array, cols)], ["key", "v", "comp", "n"])
+
+
+def _by_rare_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, v, comp): for each class the rarest of its n shingles, as many as
+    leave fewer than a partner must share, with those that only it has left out."""
+    rows = members.join(sets.hint("merge"), "v").select("v", "comp", "s").mapInArrow(_tokens, "key long, v long, comp long, n long")
+    rows = materialise(rows, "shingles")
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    rank = F.row_number().over(W.partitionBy("v").orderBy("held", "key"))  # one class's shingles
+    rows = rows.join(often.hint("merge"), "key").withColumn("rank", rank)
+    return rows.where((F.col("rank") <= F.col("n") - F.expr(f"(n * {THRESHOLD} + 99) div 100") + 1) & (F.col("held") > 1)).select("key", "v", "comp")
+
+
+def _open_keys(own: DataFrame) -> DataFrame:
+    """Rows of keys with several components, with the largest of these, the
+    number of classes outside of it, and of blocks."""
+    per = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    keys = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("c"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
+    keys = keys.select("key", F.col("top.comp").alias("largest"), (F.col("c") - F.col("top.n")).alias("strays"), F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks"))
+    return own.join(keys.hint("merge"), "key")
+
+
+def _in_blocks(own: DataFrame) -> DataFrame:
+    """Rows (key, block, mine, v, comp, stray) of open keys."""
+    own = own.withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("stray", F.col("comp") != F.col("largest"))
+    block = F.explode(F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine")))
+    return own.select("key", block.alias("block"), "mine", "v", "comp", "stray")
+
+
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of some sets."""
     if len(sets) <= 8:
@@ -195,14 +244,12 @@ def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _whole_runs(batches):
         v = t.column("v").to_numpy()
         links: list[tuple[int, int]] = []
-        for a, b, within, comp, mine in _runs(t):
+        for a, b, comp, stray, home in _runs(t):
             sets = [np.frombuffer(x, np.uint64) for x in t.column("s").slice(a, b - a).to_pylist()]
             size, inter = np.array([len(x) for x in sets]), _intersections(sets)
             union = size[:, None] + size[None, :] - inter
-            fine = np.triu(100 * inter >= THRESHOLD * union, 1) & (comp[a:b, None] != comp[None, a:b])
-            if not within:
-                fine &= mine[a:b, None] != mine[None, a:b]
-            root = {c: c for c in comp[a:b].tolist()}
+            fine = np.triu(100 * inter >= THRESHOLD * union, 1)
+            root = {c: c for c in comp.tolist()}
 
             def top(c: int, root=root) -> int:
                 while root[c] != c:
@@ -210,7 +257,10 @@ def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return c
 
             for i, j in zip(*np.nonzero(fine)):
-                ci, cj = top(int(comp[a + i])), top(int(comp[a + j]))
+                first, last = (i, j) if stray[i] else (j, i)
+                if not stray[first] or not _compared(first, last, comp, stray, home):
+                    continue
+                ci, cj = top(int(comp[i])), top(int(comp[j]))
                 if ci != cj:
                     root[max(ci, cj)] = min(ci, cj)
                     links.append((int(v[a + i]), int(v[a + j])))
@@ -293,9 +343,23 @@ class _Confirmed:
         return materialise(both.mapInArrow(_confirm, "a long, b long"), "links")
 
 
+def one_text_an_id(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows (doc_id, text, ...), of those that share a doc_id only one with the
+    smallest text. Ids alone are looked at first, so texts move only if any
+    id stands twice."""
+    known = rows.where("doc_id IS NOT NULL")
+    twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
+    if not twice.limit(1).count():
+        return rows
+    twice = materialise(twice, "twice").hint("merge")
+    same = F.col("doc_id") == F.col("twice")
+    first = known.join(twice, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("text", *more), F.struct("text")).alias("row")).select("doc_id", "row.*")
+    return rows.join(twice, same, "left_anti").union(first)
+
+
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    rows = doc_columns(docs, id_col, text_col, "text")
+    rows = one_text_an_id(doc_columns(docs, id_col, text_col, "text"))
     sketch = materialise(rows.mapInArrow(_sketches, "doc_id long, n long, s1 long, s2 long, regs binary"), "sketch")
     known = sketch.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialise(known.groupBy("n", "s1", "s2").agg(F.min_by("regs", "doc_id").alias("regs"), F.min("doc_id").alias("v")), "classes")
@@ -321,13 +385,14 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         own = materialise(shared.join(labels.hint("merge"), "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp")), "own")
 
     # keys with several components left
-    open_ = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
-    open_ = open_.select("key", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks"))
-    own = own.join(open_.hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "v", "comp").join(regs.hint("merge"), "v")
-    dealt = lambda df, *cols: df.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "v").select("key", "bi", "bj", "mine", "v", "comp", *cols)
-    left = materialise(dealt(own, "regs").mapInArrow(_partners, "key long, bi int, bj int, mine int, v long, comp long"), "left")
+    own = materialise(_open_keys(own), "open")
+    dense = own.where(F.col("strays") > BLOCK_ROWS)
+    blocks = _in_blocks(own.where(F.col("strays") <= BLOCK_ROWS))
+    if dense.limit(1).count():
+        members = materialise(dense.select("v", "comp").distinct(), "dense")
+        blocks = blocks.union(_in_blocks(_open_keys(_by_rare_shingles(members, test.sets_for(members.select("v"))))))
+    dealt = lambda df, *cols: df.repartition("key", "block").sortWithinPartitions("key", "block", "v").select("key", "block", "mine", "v", "comp", "stray", *cols)
+    left = materialise(dealt(blocks.join(regs.hint("merge"), "v"), "regs").mapInArrow(_partners, "key long, block int, mine int, v long, comp long, stray boolean"), "left")
     if left.limit(1).count():
         sets = test.sets_for(left.select("v").distinct())
         new = materialise(dealt(left.join(sets.hint("merge"), "v"), "s").mapInArrow(_link_runs, "a long, b long"), "links")
@@ -344,10 +409,12 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
 def without_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs`` of which one per group of near-duplicates is left;
     all rows without an id stay."""
-    known = docs.where(F.col(f"`{id_col}`").isNotNull())
-    kept = near_duplicates(known, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    known = known.join(kept, known[f"`{id_col}`"].cast("long") == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
-    return known.union(docs.where(F.col(f"`{id_col}`").isNull()))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = one_text_an_id(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), whole), "row")
+    known = rows.where("doc_id IS NOT NULL")
+    kept = near_duplicates(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id"))
+    left = known.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").union(rows.where("doc_id IS NULL"))
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_hyperminhash(spark, sf_dir: str) -> DataFrame:
