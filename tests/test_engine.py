@@ -289,19 +289,26 @@ def test_many_keys_are_drawn_once_by_tasks(spark, monkeypatch):
         assert len(rows) == 50 and sorted(out.collect()) == sorted(rows) and any(x.n != 10 for x in rows)
 
 
-def test_shared_folder_is_needed_on_a_cluster(spark):
+def test_shared_folder(spark, tmp_path):
     from types import SimpleNamespace as Stub
 
+    from veilframe import storage
     from veilframe.errors import ExecutionBackendError
-    from veilframe.plans import release
 
-    def session(master, warehouse, **conf):
-        return Stub(conf={"spark.sql.warehouse.dir": warehouse}, sparkContext=Stub(master=master, getConf=lambda: Stub(get=lambda k, d: conf.get("folder", d))))
+    def session(master, folder=None):
+        return Stub(sparkContext=Stub(master=master, applicationId=f"app-{master}", getConf=lambda: Stub(get=lambda k, d: folder)))
 
-    assert release.shared_folder(session("local[4]", "file:/w")) == "file:/w" and release.shared_folder(session("yarn", "hdfs://w/")) == "hdfs://w"
-    assert release.shared_folder(session("yarn", "/w", folder="hdfs://c")) == "hdfs://c"
+    assert storage.shared_root(session("yarn", "hdfs://c/")) == "hdfs://c"
+    local = session("local[4]")
+    assert storage.shared_root(local) == storage.shared_root(local)
     with pytest.raises(ExecutionBackendError):
-        release.shared_folder(session("spark://somewhere:7077", "/w"))
+        storage.shared_root(session("spark://somewhere:7077"))
+    own = session("yarn", f"file://{tmp_path}")
+    kept = tmp_path / "veilframe-app-yarn" / "x"
+    kept.mkdir(parents=True)
+    assert storage.session_folder(own).endswith("/veilframe-app-yarn")
+    storage.clear(own)
+    assert not kept.exists() and tmp_path.exists()
 
 
 def test_parameters_come_from_one_place(spark):

@@ -18,7 +18,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,7 @@ from ..functions.kernels import Kernels
 from ..functions.noise import NoiseMode, gaussian
 from ..model import Aggregation, AggregationColumn, DPParams, bounds
 from ..operators.private import HELPER, bound_contributions, heavy_units, keep_keys, unit_counts
+from ..storage import session_folder
 
 DRIVER_KEYS = 100_000
 #: Estimated bytes of input beyond which raw statistics are written before
@@ -49,20 +50,8 @@ def _cell(agg: AggregationColumn, clip, raw: list[float], sigma: float, noise: C
     return f(*raw, low, high, sigma, noise, a in (Aggregation.VAR_SAMP, Aggregation.STDDEV_SAMP))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: ``spark.checkpoint.dir``, or
-    the warehouse if that is no local path or the master is local."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir")
-        if root.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local["):
-            raise ExecutionBackendError("set spark.checkpoint.dir to a folder that all machines share")
-    return root.rstrip("/")
-
-
 def _written(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/release-{uuid.uuid4().hex}"
+    path = f"{session_folder(df.sparkSession)}/release-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
