@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import session_folder
+
 #: Bytes of text that one vectorised step works on (a longer text is one block).
 BLOCK_BYTES = 1 << 20
 U = np.uint64
@@ -21,24 +23,9 @@ _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111
 
 
 # --- storage ---------------------------------------------------------------
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a
-    folder of our own is made and set.
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.veilframe.shared", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="veilframe-")
-        spark.conf.set("spark.veilframe.shared", root)
-    return root.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the folder that driver and executors share."""
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
