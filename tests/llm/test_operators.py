@@ -634,3 +634,41 @@ def test_rows_of_one_id_are_its_smallest_text(spark):
     got = sorted(tuple(x) for x in near_dedup.near_duplicates(docs.where("doc_id IS NOT NULL")).collect())
     assert got == [(1, 1, 1, True), (2, 36, 2, True), (3, 0, 3, True), (4, 37, 2, False)]
     assert sorted(x.twice for x in near_dedup.without_near_duplicates(docs).collect()) == [1, 2, 4, 6, 7]
+
+
+def test_dense_key_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    base, n = np.arange(200), 1500
+    sets = [np.sort(np.concatenate([base[r.random(200) < 0.9], 1000 + 40 * i + np.arange(r.integers(1, 40))])).astype(np.uint64) for i in range(n)]
+    stray = np.arange(n) % 10 == 0
+    columns = {"key": [1] * n, "block": [0] * n, "mine": [0] * n, "v": range(n), "comp": [i if stray[i] else 1 for i in range(n)], "stray": stray.tolist(), "s": [x.tobytes() for x in sets]}
+    batch = pa.RecordBatch.from_pydict(columns)
+    tracemalloc.start()
+    links = [x for b in near_dedup._link_runs(iter([batch])) for x in zip(*(c.to_pylist() for c in b.columns))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+    def linked(pairs):
+        root = list(range(n))
+        for i, j in [*pairs, *((1, i) for i in range(n) if not stray[i])]:
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root
+
+    one = [set(x.tolist()) for x in sets]
+    fine = [(i, j) for i in np.flatnonzero(stray).tolist() for j in range(n) if j != i and 100 * len(one[i] & one[j]) >= 75 * len(one[i] | one[j])]
+    assert 20 < len(links) < n and linked(links) == linked(fine)
+
+
+def test_packing_keeps_few_parts():
+    assert pack.CACHE_PARTS < tokenise.CACHE_PARTS
+    enc = tokenise.Encoder(tokenise.default_path(), 10)
+    text = " ".join(f"w{i}" for i in range(300))
+    for _ in range(2):
+        assert enc.encode(text).tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert len(enc.cache) == 10

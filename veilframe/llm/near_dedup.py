@@ -45,6 +45,8 @@ REGISTERS, ROWS_A_BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS_A_BAND
 FLOOR = 0.5
 BLOCK_ROWS = 1000
+#: Strays and shingles of a run that are compared at once.
+ROWS_AT_ONCE, STRIP = 256, 1024
 #: Rounds of stars before components are compared pair by pair.
 STARS = 2
 #: Ids that a broadcast may hold (a few MB).
@@ -216,27 +218,37 @@ def _in_blocks(own: DataFrame) -> DataFrame:
     return own.select("key", block.alias("block"), "mine", "v", "comp", "stray")
 
 
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of some sets."""
+def _intersections(sets: list[np.ndarray], rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some of ``rows`` at a time, and the sizes of the intersections of these
+    sets with all sets."""
     if len(sets) <= 8:
-        out = np.zeros((len(sets), len(sets)), np.int64)
-        for i, x in enumerate(sets):
-            for j in range(i + 1, len(sets)):
-                at = np.minimum(np.searchsorted(sets[j], x), len(sets[j]) - 1)
-                out[i, j] = (sets[j][at] == x).sum()
-        return out
-    ids, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        out = np.zeros((len(rows), len(sets)), np.int64)
+        for k, i in enumerate(rows.tolist()):
+            for j, y in enumerate(sets):
+                at = np.minimum(np.searchsorted(y, sets[i]), len(y) - 1)
+                out[k, j] = (y[at] == sets[i]).sum()
+        yield rows, out
+        return
+    _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    rank = np.cumsum(n > 1) - 1
-    both = n[col] > 1
-    row, col = row[both], rank[col[both]]
-    out, width = np.zeros((len(sets), len(sets)), np.int64), 4096
-    for c in range(0, int((n > 1).sum()), width):  # 0/1 columns in strips; sums stay exact
-        own = (col >= c) & (col < c + width)
-        strip = np.zeros((len(sets), width), np.float32)
-        strip[row[own], col[own] - c] = 1
-        out += (strip @ strip.T).astype(np.int64)
-    return out
+    asked = np.zeros(len(sets), bool)
+    asked[rows] = True
+    both = np.zeros(len(n), bool)  # shingles of several sets, of rows among them
+    both[col[asked[row]]] = True
+    both &= n > 1
+    row, col = row[both[col]], (np.cumsum(both) - 1)[col[both[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order].astype(np.int32), col[order].astype(np.int32)
+    width = int(both.sum())
+    for i in range(0, len(rows), ROWS_AT_ONCE):
+        part = rows[i : i + ROWS_AT_ONCE]
+        out = np.zeros((len(part), len(sets)), np.int64)
+        for c in range(0, width, STRIP):  # 0/1 columns in strips; sums stay exact
+            a, b = np.searchsorted(col, [c, c + STRIP])
+            strip = np.zeros((len(sets), STRIP), np.float32)
+            strip[row[a:b], col[a:b] - c] = 1
+            out += (strip[part] @ strip.T).astype(np.int64)
+        yield part, out
 
 
 def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,9 +258,7 @@ def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple[int, int]] = []
         for a, b, comp, stray, home in _runs(t):
             sets = [np.frombuffer(x, np.uint64) for x in t.column("s").slice(a, b - a).to_pylist()]
-            size, inter = np.array([len(x) for x in sets]), _intersections(sets)
-            union = size[:, None] + size[None, :] - inter
-            fine = np.triu(100 * inter >= THRESHOLD * union, 1)
+            size, row = np.array([len(x) for x in sets]), np.arange(b - a)
             root = {c: c for c in comp.tolist()}
 
             def top(c: int, root=root) -> int:
@@ -256,14 +266,15 @@ def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     root[c] = c = root[root[c]]
                 return c
 
-            for i, j in zip(*np.nonzero(fine)):
-                first, last = (i, j) if stray[i] else (j, i)
-                if not stray[first] or not _compared(first, last, comp, stray, home):
-                    continue
-                ci, cj = top(int(comp[i])), top(int(comp[j]))
-                if ci != cj:
-                    root[max(ci, cj)] = min(ci, cj)
-                    links.append((int(v[a + i]), int(v[a + j])))
+            for part, inter in _intersections(sets, np.flatnonzero(stray)):
+                i = part[:, None]
+                fine = 100 * inter >= THRESHOLD * (size[i] + size - inter)
+                fine &= _compared(i, row, comp, stray, home) & (~stray | (row > i))
+                for k, j in zip(*np.nonzero(fine)):
+                    ci, cj = top(int(comp[part[k]])), top(int(comp[j]))
+                    if ci != cj:
+                        root[max(ci, cj)] = min(ci, cj)
+                        links.append((int(v[a + part[k]]), int(v[a + j])))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links]), pa.array([x[1] for x in links])], ["a", "b"])
 

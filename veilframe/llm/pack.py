@@ -37,6 +37,9 @@ from .common import doc_columns, materialise
 
 CAPACITY = 2048
 END_ID = 0
+#: Parts of texts whose ids a worker keeps (some 60 MB): workers outlive this
+#: operator, and in a pipeline the others need the room.
+CACHE_PARTS = 300_000
 Pattern = tuple[tuple[int, int], ...]
 
 
@@ -178,7 +181,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 def _cutter(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = tokenise.encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = tokenise.encoder(tokenizer, CACHE_PARTS), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64).tolist()
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
