@@ -636,6 +636,39 @@ def test_rows_of_one_id_are_its_smallest_text(spark):
     assert sorted(x.twice for x in near_dedup.without_near_duplicates(docs).collect()) == [1, 2, 4, 6, 7]
 
 
+def test_statistics_leave_hopeless_texts():
+    r = random.Random(9)
+    text = bytes(r.choices(b"abcd", k=300))
+    others = [text[20:104], text[20:90] + bytes(r.choices(b"xyz", k=14)), bytes(r.choices(b"xyz", k=30)) + text[100:154], bytes(r.choices(b"xyz", k=84))]
+    index = run_length_dedup.RunLengthIndex.build([text])
+    every, some = ({(i, at): n for which, place, length in index.statistics(others, least=k) for i, at, n in zip(which.tolist(), place.tolist(), length.tolist())} for k in (0, 50))
+    assert some.items() <= every.items() and {x for x, n in every.items() if n >= 50} == {x for x, n in some.items() if n >= 50}
+    assert (3, 40) not in some and len(some) < 0.8 * len(every)
+
+
+def test_first_windows():
+    from veilframe.llm.passages import _Firsts
+
+    r = random.Random(1)
+    for _ in range(100):
+        most, within, plain = r.choice([0, 1, 3, 1000]), r.random() < 0.5, {}
+        met = _Firsts(most)
+        for _ in range(4):
+            text, n = bytes(r.choices(b"ab\0", k=40)), r.randint(0, 40)
+            begin = np.array([r.randint(0, 20) for _ in range(n)], np.int64)
+            end = begin + np.array([r.choice([1, 7, 8, 9, 20]) for _ in range(n)], np.int64)
+            key = np.array([zlib.crc32(text[x:y]) % r.choice([5, 1000]) for x, y in zip(begin, end)], np.uint64)
+            doc = np.sort(np.array([r.randint(0, 5) for _ in range(n)], np.int64))
+            want = []
+            for i, k in enumerate(key.tolist()):
+                held = plain.get(k)
+                if held is None and len(plain) < most:
+                    plain[k] = (doc[i], text[begin[i] : end[i]])
+                elif held and held[1] == text[begin[i] : end[i]] and (within or held[0] != doc[i]):
+                    want.append(i)
+            assert met.repeated(text, key, doc, begin, end, within).tolist() == want
+
+
 def test_dense_key_in_little_memory():
     import tracemalloc
 
