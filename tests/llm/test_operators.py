@@ -705,3 +705,38 @@ def test_packing_keeps_few_parts():
     for _ in range(2):
         assert enc.encode(text).tolist() == enc.tok.encode(text, add_special_tokens=False).ids
     assert len(enc.cache) == 10
+
+
+def test_workers_get_batches_of_bounded_size(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from veilframe.llm import common
+
+    fresh = spark.newSession()
+    text = F.repeat(F.concat(F.col("id").cast("string"), F.lit(" words ")), 600)
+    docs = fresh.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    assert pack.pack_documents(docs).count() >= 2500
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64()), pa.array([b.num_rows], pa.int64())], ["size", "n"])
+
+    got = docs.mapInArrow(sizes, "size long, n long").collect()
+    assert sum(r["n"] for r in got) == 2500 and max(r["size"] for r in got) < 2 * common.BATCH_BYTES
+
+    own = spark.newSession()  # an application's own size stands
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "9000000")
+    quality.with_quality(own.range(3).select(F.lit("a b").alias("text")), None).collect()
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "9000000"
+
+
+def test_tasks_without_encoding_drop_encoders_of_their_worker():
+    import pyarrow as pa
+
+    from veilframe.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
+    tokenise.encoder(tokenise.default_path(), 10).encode_many(["some words here"])
+    assert list(common.lean(lambda bs: bs, encodes=True)(iter([batch]))) == [batch] and tokenise._ENCODERS
+    assert list(common.lean(lambda bs: bs)(iter([batch, batch]))) == [batch, batch] and not tokenise._ENCODERS

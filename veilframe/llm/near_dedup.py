@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U, TextBlock, doc_columns, gram_hash, materialise, mix64, text_blocks
+from .common import U, TextBlock, doc_columns, gram_hash, map_arrow, materialise, mix64, text_blocks
 
 SHINGLE, THRESHOLD = 5, 75
 REGISTERS, ROWS_A_BAND, MANTISSA = 128, 4, 10
@@ -194,7 +194,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _by_rare_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(key, v, comp): for each class the rarest of its n shingles, as many as
     leave fewer than a partner must share, with those that only it has left out."""
-    rows = members.join(sets.hint("merge"), "v").select("v", "comp", "s").mapInArrow(_tokens, "key long, v long, comp long, n long")
+    rows = map_arrow(members.join(sets.hint("merge"), "v").select("v", "comp", "s"), _tokens, "key long, v long, comp long, n long")
     rows = materialise(rows, "shingles")
     often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
     rank = F.row_number().over(W.partitionBy("v").orderBy("held", "key"))  # one class's shingles
@@ -322,7 +322,7 @@ def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     # a checked number of ids goes to every task; beyond it texts are shuffled
     ids = F.broadcast(ids) if few else ids.hint("merge")
     own = docs.join(ids, F.col("doc_id") == F.col("v"), "left_semi").select("doc_id", "text")
-    return materialise(own.mapInArrow(_sets, "v long, s binary"), "sets")
+    return materialise(map_arrow(own, _sets, "v long, s binary"), "sets")
 
 
 class _Confirmed:
@@ -343,7 +343,7 @@ class _Confirmed:
     def links(self, pairs: DataFrame) -> DataFrame | None:
         pairs = pairs.join(self.tested, ["a", "b"], "left_anti") if self.tested is not None else pairs
         ra, rb = (self.regs.select(F.col("v").alias(x), F.col("regs").alias(f"r{x}")).hint("merge") for x in "ab")
-        pairs = pairs.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb").mapInArrow(_likely, "a long, b long")
+        pairs = map_arrow(pairs.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb"), _likely, "a long, b long")
         pairs = materialise(pairs.distinct(), "pairs")
         if not pairs.limit(1).count():
             return None
@@ -351,7 +351,7 @@ class _Confirmed:
         self.sets_for(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
         sa, sb = (self.sets.select(F.col("v").alias(x), F.col("s").alias(f"s{x}")).hint("merge") for x in "ab")
         both = pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb")
-        return materialise(both.mapInArrow(_confirm, "a long, b long"), "links")
+        return materialise(map_arrow(both, _confirm, "a long, b long"), "links")
 
 
 def one_text_an_id(rows: DataFrame, *more: str) -> DataFrame:
@@ -371,10 +371,10 @@ def one_text_an_id(rows: DataFrame, *more: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     rows = one_text_an_id(doc_columns(docs, id_col, text_col, "text"))
-    sketch = materialise(rows.mapInArrow(_sketches, "doc_id long, n long, s1 long, s2 long, regs binary"), "sketch")
+    sketch = materialise(map_arrow(rows, _sketches, "doc_id long, n long, s1 long, s2 long, regs binary"), "sketch")
     known = sketch.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialise(known.groupBy("n", "s1", "s2").agg(F.min_by("regs", "doc_id").alias("regs"), F.min("doc_id").alias("v")), "classes")
-    bands = classes.select("v", "regs").mapInArrow(_bands, "key long, v long")
+    bands = map_arrow(classes.select("v", "regs"), _bands, "key long, v long")
     regs = classes.select("v", "regs")
     often = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     shared = materialise(bands.join(often.hint("merge"), "key", "left_semi"), "bands")
@@ -403,10 +403,10 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         members = materialise(dense.select("v", "comp").distinct(), "dense")
         blocks = blocks.union(_in_blocks(_open_keys(_by_rare_shingles(members, test.sets_for(members.select("v"))))))
     dealt = lambda df, *cols: df.repartition("key", "block").sortWithinPartitions("key", "block", "v").select("key", "block", "mine", "v", "comp", "stray", *cols)
-    left = materialise(dealt(blocks.join(regs.hint("merge"), "v"), "regs").mapInArrow(_partners, "key long, block int, mine int, v long, comp long, stray boolean"), "left")
+    left = materialise(map_arrow(dealt(blocks.join(regs.hint("merge"), "v"), "regs"), _partners, "key long, block int, mine int, v long, comp long, stray boolean"), "left")
     if left.limit(1).count():
         sets = test.sets_for(left.select("v").distinct())
-        new = materialise(dealt(left.join(sets.hint("merge"), "v"), "s").mapInArrow(_link_runs, "a long, b long"), "links")
+        new = materialise(map_arrow(dealt(left.join(sets.hint("merge"), "v"), "s"), _link_runs, "a long, b long"), "links")
         labels = components(new if links is None else links.union(new))
 
     comp = classes.join(labels, "v", "left").select("n", "s1", "s2", F.coalesce("comp", "v").alias("component"))

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokenise
-from .common import doc_columns, materialise
+from .common import doc_columns, map_arrow, materialise
 
 CAPACITY = 2048
 END_ID = 0
@@ -225,7 +225,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     sequence_id, offset."""
     rows = doc_columns(docs, id_col, text_col, "text")
     extra = ", ids array<int>" * with_ids
-    pieces = materialise(rows.mapInArrow(_cutter(tokenizer or tokenise.default_path(), capacity, end_id, with_ids), _PIECES + extra), "pieces")
+    pieces = materialise(map_arrow(rows, _cutter(tokenizer or tokenise.default_path(), capacity, end_id, with_ids), _PIECES + extra, encodes=True), "pieces")
     # rows of this table: partitions x lengths at most
     per = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     per = per.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n"))
@@ -233,7 +233,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     table = slots(plan(counts, capacity))
     ranked = pieces.join(per.select("part", "length", "before"), ["part", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"), *["ids"] * with_ids)
-    return ranked.mapInArrow(_placer(table), "doc_id long, piece int, start long, length long, ids_crc32 long" + extra + ", sequence_id long, offset long")
+    return map_arrow(ranked, _placer(table), "doc_id long, piece int, start long, length long, ids_crc32 long" + extra + ", sequence_id long, offset long")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
